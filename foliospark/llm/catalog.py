@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import unify
+from foliospark.llm import garble, sentences, unify
 from foliospark.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,3 +27,41 @@ def p8_found(s: SparkSession, d: str) -> DataFrame:
 @query
 def p8_texts(s: SparkSession, d: str) -> DataFrame:
     return unify.unify(table(s, d, "documents", "doc_id", "text")).select("doc_id", F.col("unified").alias("text"))
+
+
+# ---------------------------------------------------------------- wrong encodings
+def _blocks(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "parsed_blocks", "document_id", "sequence", "text")
+
+
+@query
+def p4_found(s: SparkSession, d: str) -> DataFrame:
+    return garble.find_garbled(_blocks(s, d)).select("document_id", "sequence").distinct()
+
+
+@query
+def p4_texts(s: SparkSession, d: str) -> DataFrame:
+    return garble.find_garbled(_blocks(s, d))
+
+
+# ---------------------------------------------------------------- sentences
+def _paragraphs(s: SparkSession, d: str) -> DataFrame:
+    """Paragraph blocks without garbled ones, each text once, with the language its document states."""
+    b = table(s, d, "parsed_blocks", "document_id", "sequence", "block_type", "text").where("block_type = 'paragraph' AND text IS NOT NULL").drop("block_type").distinct()
+    bad = garble.find_garbled(_blocks(s, d)).select("document_id", "sequence")
+    lang = table(s, d, "parsed_documents", "document_id", "language").groupBy("document_id").agg(F.max("language").alias("language"))
+    return b.join(bad, ["document_id", "sequence"], "left_anti").join(lang, "document_id", "left")
+
+
+@query
+def p5_found(s: SparkSession, d: str) -> DataFrame:
+    e = sentences.sentence_ends(_paragraphs(s, d))
+    return e.select("document_id", "sequence", F.explode("ends").alias("end_char")).distinct()
+
+
+@query
+def p5_sentences(s: SparkSession, d: str) -> DataFrame:
+    e = sentences.sentence_ends(_paragraphs(s, d)).select("document_id", "sequence", "text", "ends")
+    x = e.select("document_id", "sequence", "text", "ends", F.posexplode("ends").alias("part", "end_char"))
+    start = F.when(F.col("part") > 0, F.element_at("ends", F.greatest(F.col("part"), F.lit(1)))).otherwise(0)
+    return x.select("document_id", "sequence", "part", F.ltrim(F.substring("text", start + 1, F.col("end_char") - start)).alias("sentence"))

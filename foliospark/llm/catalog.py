@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import garble, sentences, unify
+from foliospark.llm import garble, leaks, sentences, unify
 from foliospark.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,14 @@ def p5_sentences(s: SparkSession, d: str) -> DataFrame:
     x = e.select("document_id", "sequence", "text", "ends", F.posexplode("ends").alias("part", "end_char"))
     start = F.when(F.col("part") > 0, F.element_at("ends", F.greatest(F.col("part"), F.lit(1)))).otherwise(0)
     return x.select("document_id", "sequence", "part", F.ltrim(F.substring("text", start + 1, F.col("end_char") - start)).alias("sentence"))
+
+
+# ---------------------------------------------------------------- leaked evaluation texts
+@query
+def p7_found(s: SparkSession, d: str) -> DataFrame:
+    return leaks.find_leaks(table(s, d, "documents", "doc_id", "text"), table(s, d, "eval_items", "item_id", "passage", "language"))
+
+
+@query
+def p7_kept(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents", "doc_id", "text").join(p7_found(s, d).select("doc_id").distinct(), "doc_id", "left_anti")

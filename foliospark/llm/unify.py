@@ -77,11 +77,11 @@ y: у ү
 ヘ: へ
 """
 # White space that is drawn like a space (line breaks and tabs are not), and invisible characters.
-SPACES = "               　"
-INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ\U000e0000-\U000e0fff]")
+SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+INVISIBLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0\U000e0000-\U000e0fff]")
 # A joiner between two pictographs changes what is drawn.
-_JOINED = re.compile("([←-⯿\U0001f000-\U0001faff])️?‍(?=[←-⯿\U0001f000-\U0001faff])")
-_KEPT = ""
+_JOINED = re.compile("([\u2190-\u2bff\U0001f000-\U0001faff])\ufe0f?\u200d(?=[\u2190-\u2bff\U0001f000-\U0001faff])")
+_KEPT = "\ue0ff"
 # Compatibility mappings of these kinds are not seen; <super>, <sub>, <circle>, <fraction>, <square>, <font> are.
 _UNSEEN = ("<wide>", "<narrow>", "<noBreak>")
 
@@ -107,6 +107,8 @@ def base_form(text: str) -> str:
 
 
 _SPACE_TABLE = {ord(c): " " for c in SPACES}
+# Characters that no rule touches unless a class names them: a text of these alone is already in its form.
+_USUAL = r"\t\n\r\x20-\x7e\u00a1-\u00ac\u00ae-\u017f\u0900-\u097f\u0e00-\u0e7f\u2013-\u2015\u2018-\u201e\u20ac\u3001-\u30ff\u4e00-\u9fff\uac00-\ud7a3"
 
 
 def classes() -> list[list[str]]:
@@ -148,13 +150,15 @@ class Rewriter:
             self.automaton.add_word(k, (len(k), v))
         if mapping:
             self.automaton.make_automaton()
-        self.empty = not mapping
-        self.ascii = not any(k.isascii() for k in mapping)
+        inside = [re.escape(k) for k in mapping if re.fullmatch(f"[{_USUAL}]+", k)]
+        self.odd = re.compile("|".join([f"[^{_USUAL}]", *sorted(inside, key=len, reverse=True)]))
 
     def __call__(self, text: str) -> str:
+        if not self.odd.search(text) and unicodedata.is_normalized("NFC", text):
+            return text
         base = base_form(text)
-        if self.empty or (self.ascii and base.isascii()):
-            return base
+        if not self.automaton:
+            return unicodedata.normalize("NFC", base).replace(_KEPT, "\u200d")
         out, at = [], 0
         found = sorted((end - n + 1, -n, new) for end, (n, new) in self.automaton.iter(base))
         for start, n, new in found:
@@ -162,7 +166,7 @@ class Rewriter:
                 out += [base[at:start], new]
                 at = start - n
         out.append(base[at:])
-        return unicodedata.normalize("NFC", "".join(out)).replace(_KEPT, "‍")
+        return unicodedata.normalize("NFC", "".join(out)).replace(_KEPT, "\u200d")
 
 
 def member_counts(texts: DataFrame) -> DataFrame:

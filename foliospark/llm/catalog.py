@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import garble, leaks, sentences, unify
+from foliospark.llm import garble, leaks, neighbours, sentences, unify
 from foliospark.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,15 @@ def p7_found(s: SparkSession, d: str) -> DataFrame:
 @query
 def p7_kept(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents", "doc_id", "text").join(p7_found(s, d).select("doc_id").distinct(), "doc_id", "left_anti")
+
+
+# ---------------------------------------------------------------- nearest vectors
+@query
+def p3_neighbours(s: SparkSession, d: str) -> DataFrame:
+    return neighbours.nearest_neighbours(table(s, d, "embedded_chunks", "chunk_id", "embedding", "indexed_at"))
+
+
+@query
+def p3_found(s: SparkSession, d: str) -> DataFrame:
+    p = p3_neighbours(s, d)
+    return p.select(F.least("chunk_id", "neighbour_id").alias("chunk_id_a"), F.greatest("chunk_id", "neighbour_id").alias("chunk_id_b")).distinct()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import garble, leaks, neighbours, sentences, unify
+from foliospark.llm import duplicates, garble, leaks, neighbours, sentences, unify
 from foliospark.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,14 @@ def p3_neighbours(s: SparkSession, d: str) -> DataFrame:
 def p3_found(s: SparkSession, d: str) -> DataFrame:
     p = p3_neighbours(s, d)
     return p.select(F.least("chunk_id", "neighbour_id").alias("chunk_id_a"), F.greatest("chunk_id", "neighbour_id").alias("chunk_id_b")).distinct()
+
+
+# ---------------------------------------------------------------- near duplicates
+@query
+def p1_groups(s: SparkSession, d: str) -> DataFrame:
+    return duplicates.near_duplicates(table(s, d, "embedded_chunks", "chunk_id", "content"), "chunk_id", "content")
+
+
+@query
+def p1_found(s: SparkSession, d: str) -> DataFrame:
+    return duplicates.pairs_in_groups(p1_groups(s, d), "chunk_id")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import duplicates, garble, leaks, neighbours, sentences, unify
+from foliospark.llm import duplicates, garble, leaks, neighbours, scans, sentences, unify
 from foliospark.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,18 @@ def p1_groups(s: SparkSession, d: str) -> DataFrame:
 @query
 def p1_found(s: SparkSession, d: str) -> DataFrame:
     return duplicates.pairs_in_groups(p1_groups(s, d), "chunk_id")
+
+
+# ---------------------------------------------------------------- scanned pages
+def _pages(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "ocr_pages", "document_id", "page_number", "text", "processing_time_ms")
+
+
+@query
+def p2_found(s: SparkSession, d: str) -> DataFrame:
+    return scans.find_noise(_pages(s, d))
+
+
+@query
+def p2_texts(s: SparkSession, d: str) -> DataFrame:
+    return scans.repair(_pages(s, d))

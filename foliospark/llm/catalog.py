@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import duplicates, garble, leaks, neighbours, scans, sentences, unify
+from foliospark.llm import duplicates, garble, leaks, neighbours, packing, scans, sentences, unify
 from foliospark.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,15 @@ def p2_found(s: SparkSession, d: str) -> DataFrame:
 @query
 def p2_texts(s: SparkSession, d: str) -> DataFrame:
     return scans.repair(_pages(s, d))
+
+
+# ---------------------------------------------------------------- containers
+@query
+def p6_containers(s: SparkSession, d: str) -> DataFrame:
+    """The capacity is the largest max_tokens of the index profiles, 2048."""
+    return packing.fill_containers(table(s, d, "documents", "doc_id", "text"), 2048)
+
+
+@query
+def p6_fill(s: SparkSession, d: str) -> DataFrame:
+    return p6_containers(s, d).groupBy("container").agg(F.count("*").alias("pieces"), F.sum("tokens").alias("tokens"))

@@ -173,7 +173,7 @@ def fill_containers(texts: DataFrame, capacity: int = 2048, path: str = VOCABULA
         total = open_items.agg(F.sum("tokens")).first()[0] or 0
         shards = max(1, -(-total // (capacity * SHARD)))
 
-        def place(pdf: pd.DataFrame, step=step) -> pd.DataFrame:
+        def place(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values(["tokens", "doc_id", "piece"], ignore_index=True)
             shard = int(pdf["shard"].iloc[0])
             rows: dict[int, list[int]] = {}
@@ -182,11 +182,11 @@ def fill_containers(texts: DataFrame, capacity: int = 2048, path: str = VOCABULA
             name = [""] * len(pdf)
             for b, sizes in enumerate(pack(pdf["tokens"].tolist(), capacity)):
                 for s in sizes:
-                    name[rows[s].pop()] = f"{step}-{shard}-{b}"
+                    name[rows[s].pop()] = f"{shard}-{b}"
             pdf["container"] = name
             return pdf[["doc_id", "piece", "first_token", "tokens", "container"]]
 
-        packed = checkpointed(open_items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards))).groupBy("shard").applyInPandas(place, names))
+        packed = checkpointed(open_items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards))).groupBy("shard").applyInPandas(place, names).withColumn("container", F.concat(F.lit(f"{step}-"), "container")))
         if shards == 1:
             return done.unionByName(packed)
         fill = packed.groupBy("container").agg(F.sum("tokens").alias("fill")).where(F.col("fill") >= FULL * capacity).select("container")

@@ -84,47 +84,48 @@ class _Sizes:
 def dominating_sets(sizes: list[int], capacity: int) -> tuple[list[list[int]], list[int]]:
     """Sets that can be fixed without loss, and the sizes that are left.
 
-    For the largest size j with room r: j alone if nothing fits; j with the largest k that fits if k fills the room, if
+    For each size j, largest first, with room r: j alone if nothing fits; j with the largest k that fits if k fills the room, if
     at most one more fits, or if at most two more fit and no two of them exceed k; j with k and the largest b that fits
     then, if at most two more fit and the smaller of any two that fit is at most b.
     """
-    m, fixed, kept = _Sizes(sizes), [], []
-    while m.keys:
-        j = m.keys[-1]
+    m, fixed = _Sizes(sizes), []
+    j = m.most(capacity)
+    while j:
         m.take(j)
-        r = capacity - j
-        k = m.most(r)
-        if not k:
-            fixed.append([j])
+        found = _dominating(m, capacity - j)
+        if found is None:  # nor for further copies of j; what is not fixed stays among the alternatives
+            m.put(j)
+            j = m.most(j - 1)
             continue
-        if k == r or m.least(2) > r:
-            m.take(k)
-            fixed.append([j, k])
-            continue
-        if m.least(3) > r:
-            m.take(k)
-            b = m.most(r - k)
-            m.put(k)
-            best, small = 0, 0  # of two that fit: the largest sum, and the largest smaller one
-            for s in m.keys:
-                if 2 * s > r:
-                    break
-                m.take(s)
-                p = m.most(r - s)
-                m.put(s)
-                if p >= s:
-                    best, small = max(best, s + p), s
-            if best <= k:
-                m.take(k)
-                fixed.append([j, k])
-                continue
-            if b and b >= small:
-                m.take(k)
-                m.take(b)
-                fixed.append([j, k, b])
-                continue
-        kept.append(j)
-    return fixed, kept
+        for s in found:
+            m.take(s)
+        fixed.append([j, *found])
+        j = m.most(j)
+    return fixed, [s for s in m.keys for _ in range(m.n[s])]
+
+
+def _dominating(m: _Sizes, r: int) -> list[int] | None:
+    """What fills the room r at least as well as any other choice, or None if that is not proved."""
+    k = m.most(r)
+    if not k:
+        return []
+    if k == r or m.least(2) > r:
+        return [k]
+    if m.least(3) <= r:
+        return None
+    m.take(k)
+    b = m.most(r - k)
+    m.put(k)
+    best, small = 0, 0  # of two that fit: the largest sum, and the largest smaller one
+    for s in [x for x in m.keys if 2 * x <= r]:
+        m.take(s)
+        p = m.most(r - s)
+        m.put(s)
+        if p >= s:
+            best, small = max(best, s + p), s
+    if best <= k:
+        return [k]
+    return [k, b] if b and b >= small else None
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:

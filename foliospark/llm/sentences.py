@@ -24,6 +24,8 @@ ABBREVIATIONS = {
     "ko": {"any": "", "number": "", "open": ""},
 }
 MONTHS = set("januar februar märz april mai juni juli august september oktober november dezember".split())
+# German words before an ordinal number.
+ORDINAL_LEAD = set("im am vom zum beim der die das dem den des ab bis seit zur".split())
 # Words before a single letter that names a part or place, so that "building C." ends a sentence.
 PLACES = set("anhang gebäude abschnitt halle annexe bâtiment section appendix building annex part teil figure".split())
 # Paired marks; the straight double quote pairs with itself.
@@ -181,7 +183,7 @@ def boundaries(text: str | None, language: str | None = None) -> list[int]:
                     continue
             if w.isdigit():
                 follow = re.match(r"\w+", text[k + gap :])
-                if follow and follow.group().lower() in MONTHS:
+                if follow and (follow.group().lower() in MONTHS or (len(w) < 3 and pw.lower() in ORDINAL_LEAD)):
                     continue
                 if re.search(r"\d{4}\.(?:\s*\d{1,2}\.)*\s*\d{0,2}$", text[max(0, i - 14) : i]) or re.fullmatch(r"\d{4}", w):
                     if "가" <= nxt <= "힣" or nxt.isdigit():

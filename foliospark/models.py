@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Embedder = Callable[[list[str]], np.ndarray]
 
@@ -30,10 +31,38 @@ def hashing_embedder(dim: int = 64) -> Embedder:
 def embed_column(texts: Column, make: Callable[[], Embedder]) -> Column:
     """Vectors of a text column; the model is made once in each Python worker."""
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = make()
         for s in batches:
             yield pd.Series(list(model(s.fillna("").tolist())), index=s.index)
 
     return run(texts)
+
+
+Reranker = Callable[[list[str], list[str]], np.ndarray]
+
+
+def overlap_reranker() -> Reranker:
+    """Share of the query's words that the text has; needs no files."""
+
+    def score(queries: list[str], texts: list[str]) -> np.ndarray:
+        out = []
+        for q, t in zip(queries, texts):
+            words = set((q or "").lower().split())
+            out.append(len(words & set((t or "").lower().split())) / len(words) if words else 0.0)
+        return np.array(out)
+
+    return score
+
+
+def rerank_column(queries: Column, texts: Column, make: Callable[[], Reranker]) -> Column:
+    """Scores of query and text pairs; the model is made once in each Python worker."""
+
+    @F.pandas_udf(T.DoubleType())
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        model = make()
+        for q, t in batches:
+            yield pd.Series(model(q.fillna("").tolist(), t.fillna("").tolist()), index=q.index)
+
+    return run(queries, texts)

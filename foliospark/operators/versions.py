@@ -19,6 +19,12 @@ def update_known(table: DataFrame, updates: DataFrame, key: str) -> DataFrame:
     return table.join(u, key, "left").select(*out)
 
 
+def clear_errors(table: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """``error_message`` set to null for the keys of ``ids``; an update with null would leave it."""
+    d = table.join(ids.select(key, F.lit(True).alias("__clear")).distinct(), key, "left")
+    return d.withColumn("error_message", F.when(F.col("__clear").isNull(), F.col("error_message"))).select(*table.columns)
+
+
 def pending_versions(versions: DataFrame, wanted: DataFrame, now: Column) -> DataFrame:
     """(document_id, md5_hash, index_profile_id, version_id, reused): the id of an equal version, or one derived from the three."""
     keys = ["document_id", "md5_hash", "index_profile_id"]

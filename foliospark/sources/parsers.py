@@ -17,10 +17,16 @@ PARSED = "source_path string, sequence int, block_type string, text string, sect
 
 
 def decode(data: bytes) -> str:
-    try:
-        return data.decode("utf-8-sig")
-    except UnicodeDecodeError:
-        return data.decode("utf-8", "replace")
+    """By byte order mark, else as UTF-8, else as the Korean code page if it fits, else UTF-8 with replacements."""
+    for mark, name in ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
+        if data.startswith(mark):
+            return data.decode(name, "replace")
+    for name in ("utf-8", "cp949"):
+        try:
+            return data.decode(name)
+        except UnicodeDecodeError:
+            pass
+    return data.decode("utf-8", "replace")
 
 
 def parse_text(data: bytes) -> list[Block]:
@@ -87,7 +93,27 @@ def parse_docx(data: bytes) -> list[Block]:
     return out or [("paragraph", "(empty docx document)", [])]
 
 
-PARSERS: dict[str, Callable[[bytes], list[Block]]] = {".txt": parse_text, ".md": parse_markdown, ".markdown": parse_markdown, ".docx": parse_docx}
+def parse_pdf(data: bytes) -> list[Block]:
+    """One block a page, and headings: short lines in capitals or that start with a digit. Needs the pypdf package."""
+    import pypdf
+
+    out: list[Block] = []
+    path: list[str] = []
+    reader = pypdf.PdfReader(io.BytesIO(data))
+    if reader.is_encrypted and not reader.decrypt(""):
+        raise ValueError("the file is encrypted")
+    for page in reader.pages:
+        for part in (page.extract_text() or "").split("\n\n"):
+            line = part.strip()
+            if not line:
+                continue
+            heading = len(line) < 100 and "\n" not in line and (line.isupper() or line[0].isdigit())
+            path = [line] if heading else path
+            out.append(("heading" if heading else "paragraph", line, list(path)))
+    return out or [("paragraph", "(empty document)", [])]
+
+
+PARSERS: dict[str, Callable[[bytes], list[Block]]] = {".txt": parse_text, ".md": parse_markdown, ".markdown": parse_markdown, ".docx": parse_docx, ".pdf": parse_pdf}
 
 
 def parse_files(files: DataFrame, parsers: dict[str, Callable[[bytes], list[Block]]] | None = None) -> DataFrame:

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.session import checkpointed
+
 # Letters of other scripts that are drawn like a Latin letter, as pairs "Latin: look-alikes".
 LOOK_ALIKES = """
 A: Α А Ꭺ
@@ -151,6 +153,8 @@ class Rewriter:
         if mapping:
             self.automaton.make_automaton()
         inside = [re.escape(k) for k in mapping if re.fullmatch(f"[{_USUAL}]+", k)]
+        # Composed letters that hold a class member, such as a kana with a voice mark.
+        inside += [chr(c) for c in (*range(0xA1, 0x180), *range(0x900, 0x980), *range(0x3041, 0x3100)) if any(x in mapping for x in unicodedata.normalize("NFD", chr(c))[:-1])]
         self.odd = re.compile("|".join([f"[^{_USUAL}]", *sorted(inside, key=len, reverse=True)]))
 
     def __call__(self, text: str) -> str:
@@ -211,7 +215,7 @@ def same_looking_pairs(texts: DataFrame) -> DataFrame:
     largest hash of each group are found by partial aggregation first.
     """
     h = unify(texts.select("doc_id", "text").where("text IS NOT NULL")).where(F.length(F.trim("unified")) > 0)
-    h = h.select("doc_id", F.md5("unified").alias("look"), F.md5("text").alias("stored")).distinct()
+    h = checkpointed(h.select("doc_id", F.md5("unified").alias("look"), F.md5("text").alias("stored")).distinct())
     mixed = h.groupBy("look").agg(F.min("stored").alias("a"), F.max("stored").alias("b")).where("a <> b").select("look")
     g = h.join(mixed, "look", "left_semi")
     a, b = (g.select("look", F.col("stored").alias(f"s_{x}"), F.col("doc_id").alias(f"doc_id_{x}")) for x in "ab")

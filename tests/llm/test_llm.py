@@ -317,11 +317,12 @@ def test_same_looking_pairs(spark):
     texts = {
         1: a, 2: unicodedata.normalize("NFD", a), 3: a.replace("e", "е"), 4: a.replace(" ", " "), 5: "".join(chr(ord(c) + 0xFEE0) if "!" <= c <= "~" else c for c in a), 6: a[:4] + "​" + a[4:],
         7: a.replace("é", "e"), 8: a.upper(), 9: a.replace("12", "¹²"), 10: a, 11: k, 12: unicodedata.normalize("NFD", k), 13: "한국어 ﾊﾞｯﾃﾘｰ", 14: None, 15: "", 16: " ", 17: " ", 18: "👩‍🔧", 19: "👩🔧", 20: "ofﬁce", 21: "office",
+        22: "への へや へん", 23: "ベルト", 24: "ベル\u200bト", 25: "ヘ",
     }
     df = spark.createDataFrame([(i, t, 1) for i, t in texts.items()] + [(1, a, 1)], "doc_id long, text string, look int")
     got = {tuple(r) for r in unify.same_looking_pairs(df).collect()}
     same = {1, 2, 3, 4, 5, 6, 10}
-    want = {(x, y) for x in same for y in same if x < y and (x, y) != (1, 10)} | {(11, 12), (11, 13), (12, 13), (20, 21)}
+    want = {(x, y) for x in same for y in same if x < y and (x, y) != (1, 10)} | {(11, 12), (11, 13), (12, 13), (20, 21), (23, 24)}
     assert got == want
     assert unify.same_looking_pairs(df.limit(0)).count() == 0
     u = {r["doc_id"]: r["unified"] for r in unify.unify(df).collect()}

@@ -7,6 +7,7 @@ bounds choose the vectors whose exact product is computed.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import Window as W
 from foliospark.functions.vectors import is_usable
 
 # Fitting: vectors a cell, vectors at most in the sample, cells at most.
-CELL, SAMPLE, MAX_CELLS = 128, 131072, 16384
+CELL, SAMPLE, MAX_CELLS = 128, 65536, 8192
 # Vectors of a group of neighbouring cells that are searched together, and cells each query looks into.
 GROUP, PROBES = 4096, 8
 # Error bound of the estimates in standard deviations, and bits a value of the query.
@@ -87,9 +88,9 @@ class Codes:
         self.bits = _pack(bits)
         self.ones = bits.sum(axis=1).astype(np.float32)
         # Inner product of the unit residual with its own code, and with the centroid.
-        self.own = np.maximum(np.abs(turned).sum(axis=1) / np.sqrt(self.dim), 1e-3)
+        self.own = np.maximum(np.abs(turned).sum(axis=1) / math.sqrt(self.dim), 1e-3)
         self.with_centroid = unit @ centroid
-        self.error = np.sqrt(np.maximum(0, 1 - self.own**2)) / self.own * EPSILON / np.sqrt(max(1, self.dim - 1))
+        self.error = np.sqrt(np.maximum(0, 1 - self.own**2)) / self.own * (EPSILON / math.sqrt(max(1, self.dim - 1)))
 
     def estimate(self, queries: np.ndarray, centroid: np.ndarray, rotation: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Estimated inner products of queries and members, and how far off they may be."""
@@ -104,11 +105,13 @@ class Codes:
             for w in range(plane.shape[1]):
                 both += np.float32(1 << b) * np.bitwise_count(plane[:, w : w + 1] & self.bits[:, w])
         # Sum over the dimensions of (2 bit - 1) * (low + step * level), over the root of the dimension.
-        total = 2 * (low * self.ones + step * both) - (low * self.dim + step * level.sum(axis=1, keepdims=True, dtype=np.float32))
-        inner = total / np.sqrt(self.dim) / self.own
-        est = (queries @ centroid)[:, None] + self.norm * (inner + self.with_centroid)
-        slack = self.norm * (np.linalg.norm(rq, axis=1)[:, None] * self.error + step * np.sqrt(self.dim) / 2 / self.own * 0.25)
-        return est, slack
+        scale = self.norm / self.own / math.sqrt(self.dim)
+        both *= 2 * step * scale
+        both += low * (2 * self.ones * scale)
+        both -= (low * self.dim + step * level.sum(axis=1, keepdims=True, dtype=np.float32)) * scale
+        both += (queries @ centroid)[:, None] + self.norm * self.with_centroid
+        slack = np.linalg.norm(rq, axis=1)[:, None] * (self.norm * self.error) + step * (math.sqrt(self.dim) / 8 * self.norm / self.own)
+        return both, slack
 
 
 def search_group(h: np.ndarray, x: np.ndarray, home: np.ndarray, member: np.ndarray, probes: list[np.ndarray], cells: Cells, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -121,37 +124,53 @@ def search_group(h: np.ndarray, x: np.ndarray, home: np.ndarray, member: np.ndar
     owner = np.repeat(np.arange(len(probes)), [len(p) for p in probes])
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
-    at, of, sims = [], [], []
-    for c, rows in rows_of.items():
-        lo, hi = np.searchsorted(flat, [c, c + 1])
-        asking = owner[lo:hi]
-        if not len(asking):
-            continue
-        centroid = cells.centroids[c]
-        codes = Codes(x[rows], centroid, cells.rotation)
-        for i in range(0, len(asking), 1024):
-            q = asking[i : i + 1024]
-            for j in range(0, len(rows), 4096):
-                part = rows[j : j + 4096]
-                piece = codes if len(rows) <= 4096 else Codes(x[part], centroid, cells.rotation)
-                est, slack = piece.estimate(x[q], centroid, cells.rotation)
-                same = h[q][:, None] == h[part]
-                low = np.where(same, -9, est - slack)
-                kk = min(k, len(part))
-                least = np.partition(low, len(part) - kk, axis=1)[:, len(part) - kk]
-                a, b = np.nonzero((est + slack >= least[:, None]) & ~same)
-                at.append(q[a])
-                of.append(part[b])
-                sims.append(np.einsum("ij,ij->i", x[q[a]], x[part[b]]))
-    if not at:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32)
-    at, of, sims = np.concatenate(at), np.concatenate(of), np.concatenate(sims)
-    order = np.lexsort((h[of], -sims, at))
-    at, of, sims = at[order], of[order], sims[order]
-    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    rank = np.arange(len(at)) - np.repeat(first, np.diff(np.r_[first, len(at)]))
-    keep = rank < k
-    return at[keep], h[of[keep]], sims[keep]
+    best, best_h = np.full((len(x), k), -9, dtype=np.float32), np.zeros((len(x), k), dtype=np.int64)
+    codes = {c: [Codes(x[rows[j : j + 4096]], cells.centroids[c], cells.rotation) for j in range(0, len(rows), 4096)] for c, rows in rows_of.items()}
+    # Members first look into their own cell; the k-th product found there spares them most of the others.
+    for first in (True, False):
+        for c, rows in rows_of.items():
+            lo, hi = np.searchsorted(flat, [c, c + 1])
+            asking = owner[lo:hi]
+            own = member[asking] & (home[asking] == c)
+            asking = asking[own if first else ~own]
+            for i in range(0, len(asking), 1024):
+                q = asking[i : i + 1024]
+                for j, piece in enumerate(codes[c]):
+                    part = rows[j * 4096 : (j + 1) * 4096]
+                    est, slack = piece.estimate(x[q], cells.centroids[c], cells.rotation)
+                    _keep_best(q, part, est, slack, x, h, best, best_h, k)
+    at, i = np.nonzero(best > -9)
+    return at, best_h[at, i], best[at, i]
+
+
+def _keep_best(q, part, est, slack, x, h, best, best_h, k: int) -> None:
+    """Exact products of the members that may be among the k best of their queries, and the new k best."""
+    least = best[q, k - 1].copy()
+    if len(part) > k:
+        # Nothing known of a query yet: k other members reach the (k + 1)-th lower bound, whichever is the query itself.
+        new = np.flatnonzero(least == -9)
+        if len(new):
+            low = est[new] - slack[new]
+            least[new] = np.partition(low, len(part) - k - 1, axis=1)[:, len(part) - k - 1]
+    a, b = np.nonzero(est + slack >= least[:, None])
+    keep = h[q[a]] != h[part[b]]
+    a, b = a[keep], b[keep]
+    if not len(a):
+        return
+    sims = np.einsum("ij,ij->i", x[q[a]], x[part[b]])
+    rank_of = np.flatnonzero(np.bincount(a, minlength=len(q)))
+    place = np.zeros(len(q), dtype=np.int64)
+    place[rank_of] = np.arange(len(rank_of))
+    start = np.searchsorted(a, rank_of)
+    width = int(np.bincount(a).max())
+    s = np.full((len(rank_of), k + width), -9, dtype=np.float32)
+    hh = np.zeros((len(rank_of), k + width), dtype=np.int64)
+    s[:, :k], hh[:, :k] = best[q[rank_of]], best_h[q[rank_of]]
+    row = place[a]
+    col = k + np.arange(len(a)) - start[row]
+    s[row, col], hh[row, col] = sims, h[part[b]]
+    order = np.lexsort((hh, -s), axis=-1)[:, :k]
+    best[q[rank_of]], best_h[q[rank_of]] = np.take_along_axis(s, order, 1), np.take_along_axis(hh, order, 1)
 
 
 def nearest_neighbours(rows: DataFrame, k: int = 5, dim: int = 64) -> DataFrame:

@@ -392,7 +392,15 @@ def sentence_split_ko(s, d):
     return _paragraph_blocks(s, d).select("document_id", "sequence", F.md5(F.array_join(x, "\n")).alias("pieces"), F.size(x).alias("n"))
 
 
-@query()
+_ABBREVIATIONS = ", ".join(f"'{x}'" for x in sentences.ENGLISH_ABBREVIATIONS)
+
+
+@query(f"""WITH parts AS (SELECT document_id, sequence, unnest(l) AS part, generate_subscripts(l, 1) AS i
+ FROM (SELECT document_id, sequence, string_split(regexp_replace(text, '([.?!]+)(\\s+|$)', '\\1\\2' || chr(1), 'g'), chr(1)) AS l FROM blocks WHERE block_type = 'paragraph' AND text IS NOT NULL)),
+flags AS (SELECT *, {_sql_strip('part')} = '' OR regexp_replace(lower(regexp_extract({_sql_strip('part')}, '(\\S+)$', 1)), '[.!?]+$', '') IN ({_ABBREVIATIONS}) AS joined FROM parts),
+groups AS (SELECT *, coalesce(sum((NOT joined)::INT) OVER (PARTITION BY document_id, sequence ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM flags),
+texts AS (SELECT document_id, sequence, g, {_sql_strip("string_agg(part, '' ORDER BY i)")} AS sentence FROM groups GROUP BY ALL)
+SELECT document_id, sequence, (row_number() OVER (PARTITION BY document_id, sequence ORDER BY g) - 1)::INT AS part, sentence FROM texts WHERE sentence <> ''""", "blocks")
 def sentence_split_en(s, d):
     return _paragraph_blocks(s, d).select("document_id", "sequence", F.posexplode(sentences.english(F.col("text"))).alias("part", "sentence"))
 
@@ -444,7 +452,8 @@ def content_md5(s, d):
     return chunks(s, d, "chunk_id", "content").select("chunk_id", F.md5("content").alias("content_md5"))
 
 
-@query()
+@query("""SELECT chunk_id, concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), '5' || substr(h, 14, 3), substr('89ab', (instr('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 3), substr(h, 21, 12)) AS made_id
+FROM (SELECT chunk_id, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(concat_ws('/', document_id, version_id, chunk_index))) AS h FROM chunks)""", "chunks")
 def chunk_uuid5(s, d):
     return chunks(s, d, "chunk_id", "document_id", "version_id", "chunk_index").select("chunk_id", ids.chunk_id(F.col("document_id"), F.col("version_id"), F.col("chunk_index")).alias("made_id"))
 

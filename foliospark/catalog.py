@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from foliospark.functions import ids, sentences, text, vectors
 from foliospark.operators import answers, changes, chunking, metadata, pages, search, versions
 from foliospark.plans.answering import answer_questions
-from foliospark.session import latest, table
+from foliospark.session import latest, shuffle_partitions, spread, table
 from foliospark.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -341,7 +341,7 @@ def _norm(x: str) -> str:
 
 @query(f"SELECT doc_id, md5({_norm('text')}) AS hash, length({_norm('text')})::INT AS n FROM documents")
 def normalize_text(s, d):
-    t = table(s, d, "documents", "doc_id", "text").withColumn("t", text.normalize_text(F.col("text")))
+    t = spread(table(s, d, "documents", "doc_id", "text")).withColumn("t", text.normalize_text(F.col("text")))
     return t.select("doc_id", F.md5("t").alias("hash"), F.length("t").alias("n"))
 
 
@@ -371,7 +371,8 @@ def table_linearize(s, d):
 
 
 def _paragraph_blocks(s, d):
-    return blocks(s, d, "document_id", "sequence", "block_type", "text").where("block_type = 'paragraph' AND text IS NOT NULL")
+    b = table(s, d, "parsed_blocks", "document_id", "sequence", "block_type", "text").repartition(shuffle_partitions(s), "document_id", "sequence")
+    return latest(b, ["document_id", "sequence"], [F.md5("text").asc_nulls_last(), _asc("block_type")]).where("block_type = 'paragraph' AND text IS NOT NULL")
 
 
 def _sql_pieces(pattern: str) -> str:

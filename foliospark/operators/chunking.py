@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from foliospark.functions.ids import chunk_id
 from foliospark.functions.sentences import split_sentences
 from foliospark.functions.text import is_blank, linearize_table, normalize_text, token_count
+from foliospark.session import shuffle_partitions
 
 CHUNK_COLUMNS = "document_id string, page_group long, page_number int, section_title string, chunk_no int, content string, token_count int"
 
@@ -26,7 +27,8 @@ def block_sentences(blocks: DataFrame, language: str = "language") -> DataFrame:
     """One row for each sentence, numbered from 0 within the document; tables, code and images stay whole."""
     whole = F.col("block_type").isin("table", "code", "image")
     parts = F.when(whole, F.array("text")).otherwise(split_sentences(F.col("text"), F.col(language)))
-    rows = blocks.select(*[c for c in blocks.columns if c != "text"], F.posexplode(parts).alias("part", "text"))
+    # One partitioning serves the splitting and the windows by document; its number is not taken from the small input.
+    rows = blocks.repartition(shuffle_partitions(blocks.sparkSession), "document_id").select(*[c for c in blocks.columns if c != "text"], F.posexplode(parts).alias("part", "text"))
     w = W.partitionBy("document_id").orderBy("sequence", "part")
     return rows.withColumn("sentence_no", F.row_number().over(w) - 1)
 

@@ -38,6 +38,19 @@ def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with at least a partition for each core, for work that costs far more than reading its input.
+
+    Large tables have that many splits anyway and are not shuffled.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of every key in ``order``; repeated rows of a key fall away.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm import duplicates, garble, leaks, neighbours, packing, scans, sentences, unify
-from foliospark.session import table
+from foliospark.session import shuffle_partitions, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -21,12 +21,12 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 @query
 def p8_found(s: SparkSession, d: str) -> DataFrame:
-    return unify.same_looking_pairs(table(s, d, "documents", "doc_id", "text"))
+    return unify.same_looking_pairs(spread(table(s, d, "documents", "doc_id", "text")))
 
 
 @query
 def p8_texts(s: SparkSession, d: str) -> DataFrame:
-    return unify.unify(table(s, d, "documents", "doc_id", "text")).select("doc_id", F.col("unified").alias("text"))
+    return unify.unify(spread(table(s, d, "documents", "doc_id", "text"))).select("doc_id", F.col("unified").alias("text"))
 
 
 # ---------------------------------------------------------------- wrong encodings
@@ -50,7 +50,7 @@ def _paragraphs(s: SparkSession, d: str) -> DataFrame:
     b = table(s, d, "parsed_blocks", "document_id", "sequence", "block_type", "text").where("block_type = 'paragraph' AND text IS NOT NULL").drop("block_type").distinct()
     bad = garble.find_garbled(_blocks(s, d)).select("document_id", "sequence")
     lang = table(s, d, "parsed_documents", "document_id", "language").groupBy("document_id").agg(F.max("language").alias("language"))
-    return b.join(bad, ["document_id", "sequence"], "left_anti").join(lang, "document_id", "left")
+    return b.join(bad, ["document_id", "sequence"], "left_anti").join(lang, "document_id", "left").repartition(shuffle_partitions(s))
 
 
 @query
@@ -70,7 +70,7 @@ def p5_sentences(s: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- leaked evaluation texts
 @query
 def p7_found(s: SparkSession, d: str) -> DataFrame:
-    return leaks.find_leaks(table(s, d, "documents", "doc_id", "text"), table(s, d, "eval_items", "item_id", "passage", "language"))
+    return leaks.find_leaks(spread(table(s, d, "documents", "doc_id", "text")), table(s, d, "eval_items", "item_id", "passage", "language"))
 
 
 @query
@@ -103,7 +103,7 @@ def p1_found(s: SparkSession, d: str) -> DataFrame:
 
 # ---------------------------------------------------------------- scanned pages
 def _pages(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "ocr_pages", "document_id", "page_number", "text", "processing_time_ms")
+    return spread(table(s, d, "ocr_pages", "document_id", "page_number", "text", "processing_time_ms"))
 
 
 @query
@@ -120,7 +120,7 @@ def p2_texts(s: SparkSession, d: str) -> DataFrame:
 @query
 def p6_containers(s: SparkSession, d: str) -> DataFrame:
     """The capacity is the largest max_tokens of the index profiles, 2048."""
-    return packing.fill_containers(table(s, d, "documents", "doc_id", "text"), 2048)
+    return packing.fill_containers(spread(table(s, d, "documents", "doc_id", "text")), 2048)
 
 
 @query

@@ -90,6 +90,41 @@ def test_sketches_lose_no_pair():
             assert duplicates._may_be_similar(pd.Series([sa]), pd.Series([sb]), pd.Series([na]), pd.Series([nb]))[0]
 
 
+def test_no_link_at_the_limit_is_missed(spark):
+    """Groups of two records just at the limit that agree in no signature."""
+    r = random.Random(6)
+    pairs = []
+    for _ in range(2000):
+        t = [r.choice("abcdefghijklmnop") for _ in range(r.randint(60, 300))]
+        a, x = "".join(t), duplicates.runs_of("".join(t))
+        for j in r.sample(range(len(t)), len(t)):
+            before, t[j] = t[j], r.choice("qrstuv")
+            y = duplicates.runs_of("".join(t))
+            if len(x & y) < 0.65 * len(x | y):
+                t[j] = before
+                break
+        pairs.append((a, "".join(t)))
+    s = duplicates.signatures([t for p in pairs for t in p])
+    apart = [p for i, p in enumerate(pairs) if not np.intersect1d(s[2 * i], s[2 * i + 1]).size]
+    assert len(apart) > 5
+    contents = dict(enumerate(t for p in apart + pairs[:20] for t in p))
+    df = spark.createDataFrame(list(contents.items()), "k long, content string")
+    got = duplicates.pairs_in_groups(duplicates.near_duplicates(df, "k", "content"), "k")
+    assert {tuple(x) for x in got.collect()} == brute_groups(contents)
+
+
+def test_the_pairs_between_groups_leave_out_only_a_hot_group_itself(monkeypatch, spark):
+    monkeypatch.setattr(duplicates, "HOT", 10)
+    r = random.Random(7)
+    t = prose(r, 40)
+    docs = [(i, i, edited(r, t, 1)) for i in range(40)]
+    rows = spark.createDataFrame(docs, "id long, h long, text string")
+    group = spark.createDataFrame([(i, 0) for i in range(30)], "id long, component long")
+    got = {tuple(x) for x in duplicates.pairs_between_groups(rows, group).collect()}
+    want = {(a[0], b[0]) for a, b in itertools.combinations(docs, 2) if b[0] >= 30 and len(duplicates.runs_of(a[2]) & duplicates.runs_of(b[2])) >= 0.65 * len(duplicates.runs_of(a[2]) | duplicates.runs_of(b[2]))}
+    assert want and want <= got and all(b >= 30 for _, b in got)
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (3, 4), (10, 11), (11, 11), (None, 5), (4, 3)] + [(100 + i, 101 + i) for i in range(40)]
     got = {r["id"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}

@@ -479,7 +479,7 @@ def chunk_pack(s, d):
     b = blocks(s, d).join(docs(s, d, "document_id", "language"), "document_id", "left")
     rows = chunking.block_sentences(chunking.clean_blocks(b))
     grouped = chunking.page_groups(rows.drop("sequence").withColumnRenamed("sentence_no", "sequence")).withColumnRenamed("sequence", "sentence_no")
-    return chunking.finish_chunks(chunking.pack_sentences(grouped))
+    return chunking.finish_chunks(chunking.pack_sentences(grouped, across_groups=True))
 
 
 @query("SELECT chunk_id, document_id, version_id, row_number() OVER (PARTITION BY document_id, version_id ORDER BY chunk_index, chunk_id) - 1 AS new_index FROM (SELECT * FROM chunks QUALIFY row_number() OVER (PARTITION BY document_id, version_id, md5(content) ORDER BY chunk_index, chunk_id) = 1)", "chunks")

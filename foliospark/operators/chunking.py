@@ -41,22 +41,25 @@ def page_groups(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("__c", change).withColumn("page_group", F.sum("__c").over(w)).drop("__c")
 
 
-def pack_sentences(sentences: DataFrame, max_tokens: int = 512, overlap_tokens: int = 60, min_tokens: int = 50) -> DataFrame:
+def pack_sentences(sentences: DataFrame, max_tokens: int = 512, overlap_tokens: int = 60, min_tokens: int = 50, across_groups: bool = False) -> DataFrame:
     """Greedy chunks of the sentences of each page group, in order, with an overlap of whole sentences.
 
     A chunk closes when the next sentence would pass ``max_tokens``; a longer sentence stands alone. Chunks below
     ``min_tokens`` are dropped unless they are the group's first. Needs (document_id, page_group, page_number,
     section_path, sentence_no, text); null text counts as empty. The state of the fold is one open chunk, so the rows
-    of a group stream through sorted partitions and a hot document is never held whole.
+    stream through sorted partitions and a hot document is never held whole.
+
+    With ``across_groups`` a page group opens with the last ``overlap_tokens * 4`` characters of the chunk before it,
+    without page and section, and ``chunk_no`` counts over the whole document, as does the exception for the first.
     """
     rows = sentences.select("document_id", "page_group", "sentence_no", "page_number", F.try_element_at("section_path", F.lit(-1)).alias("section_title"), F.coalesce("text", F.lit("")).alias("text"), token_count(F.col("text")).alias("tokens"))
-    ordered = rows.repartition("document_id", "page_group").sortWithinPartitions("document_id", "page_group", "sentence_no")
+    ordered = rows.repartition(*(["document_id"] if across_groups else ["document_id", "page_group"])).sortWithinPartitions("document_id", "page_group", "sentence_no")
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, held, total, number = None, [], 0, 0
+        key, held, total, number, tail = None, [], 0, 0, ""
 
         def close(out: list) -> None:
-            nonlocal number
+            nonlocal number, tail
             content = "\n".join(x[2] for x in held).strip()
             count = tokens_of(content)
             if content and not (count < min_tokens and number > 0):
@@ -64,6 +67,7 @@ def pack_sentences(sentences: DataFrame, max_tokens: int = 512, overlap_tokens:
                 title = next((x[1] for x in reversed(held) if x[1] is not None), None)
                 out.append((*key, page, title, number, content, count))
                 number += 1
+                tail = content[-overlap_tokens * 4 :] if across_groups and overlap_tokens > 0 else ""
 
         for pdf in batches:
             out: list = []
@@ -71,7 +75,11 @@ def pack_sentences(sentences: DataFrame, max_tokens: int = 512, overlap_tokens:
                 if key != (doc, group):
                     if held:
                         close(out)
-                    key, held, total, number = (doc, group), [], 0, 0
+                    if not across_groups or key is None or key[0] != doc:
+                        number, tail = 0, ""
+                    key, held, total = (doc, group), [], tokens_of(tail)
+                    if total > 0:
+                        held.append((None, None, tail, total))
                 if held and total + tokens > max_tokens:
                     close(out)
                     kept, size = [], 0

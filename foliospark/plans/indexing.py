@@ -30,7 +30,7 @@ def chunk_blocks(blocks: DataFrame, s: Settings) -> DataFrame:
     c = s.chunking
     sentences = chunking.block_sentences(chunking.clean_blocks(blocks))
     grouped = chunking.page_groups(sentences.drop("sequence").withColumnRenamed("sentence_no", "sequence")).withColumnRenamed("sequence", "sentence_no") if c.preserve_page_boundary else sentences.withColumn("page_group", F.lit(0).cast("long"))
-    return chunking.finish_chunks(chunking.pack_sentences(grouped, c.max_tokens, c.overlap_tokens, c.min_tokens))
+    return chunking.finish_chunks(chunking.pack_sentences(grouped, c.max_tokens, c.overlap_tokens, c.min_tokens, across_groups=True))
 
 
 def run_indexing(spark: SparkSession, s: Settings, job_type: str = "manual") -> dict[str, int]:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from foliospark.functions import ids, sentences, text, vectors
+from foliospark.models import embed_column, hashing_embedder
 from foliospark.operators import answers, changes, chunking, metadata, pages, search, versions
 from foliospark.plans.answering import answer_questions
 from foliospark.session import latest, shuffle_partitions, spread, table
@@ -163,8 +164,9 @@ def source_blocks(s, d):
 
 @query()
 def answer_pipeline(s, d):
-    e = table(s, d, "embeddings", "vec_id", "embedding").where("vec_id % 100 = 0").withColumn("item_id", F.expr("1000 + vec_id div 100"))
-    q = table(s, d, "eval_items", "item_id", "question").join(e, "item_id").select(F.col("item_id").alias("query_id"), "question", "embedding")
+    """Every question of eval_items, as a vector of the library's own embedder."""
+    items = latest(table(s, d, "eval_items", "item_id", "question"), ["item_id"], [F.md5("question").asc_nulls_last()])
+    q = items.select(F.col("item_id").alias("query_id"), "question", embed_column(F.col("question"), lambda: hashing_embedder(DIM)).alias("embedding"))
     c = chunks(s, d, "chunk_id", "document_id", "version_id", "content", "page_number", "sheet_name", "slide_number", "section_title", "source_path", "embedding")
     return answer_questions(q, c, docs(s, d, "document_id", "active_version_id"), DIM, 0.1)
 

@@ -20,8 +20,9 @@ from foliospark.functions.vectors import is_usable
 
 # Fitting: vectors a cell, vectors at most in the sample, cells at most.
 CELL, SAMPLE, MAX_CELLS = 128, 65536, 8192
-# Vectors of a group of neighbouring cells that are searched together, and cells each query looks into.
-GROUP, PROBES = 4096, 8
+# Vectors of a group of neighbouring cells that are searched together, members of a group above which it is cut into
+# blocks, and cells each query looks into.
+GROUP, BLOCK, PROBES = 4096, 32768, 8
 # Error bound of the estimates in standard deviations, and bits a value of the query.
 EPSILON, QUERY_BITS = 1.9, 4
 
@@ -58,12 +59,19 @@ class Cells:
     def __init__(self, sample: np.ndarray, count: int, dim: int):
         k = int(min(max(1, count // CELL), MAX_CELLS, max(1, len(sample) // 8)))
         self.centroids = _kmeans(sample, k, 4, 1) if len(sample) else np.zeros((1, dim), np.float32)
+        # Empty and equal centroids would take places among the cells that a query looks into.
+        home = _nearest(sample, self.centroids, 1)[:, 0] if len(sample) else np.zeros(0, np.int32)
+        self.centroids = np.unique(self.centroids[np.unique(home)], axis=0) if len(sample) else self.centroids
+        k = len(self.centroids)
         g = max(1, -(-k * CELL // GROUP))
         if g > 1:
             heads = _kmeans(self.centroids, g, 6, 2)
             self.group = _nearest(self.centroids, heads, 1)[:, 0]
         else:
             self.group = np.zeros(len(self.centroids), dtype=np.int32)
+        # Blocks of each group by its members, as counted in the sample.
+        members = np.bincount(self.group[_nearest(sample, self.centroids, 1)[:, 0]], minlength=self.group.max() + 1) if len(sample) else np.zeros(1)
+        self.blocks = np.maximum(1, np.ceil(members * (count / max(1, len(sample))) / BLOCK)).astype(np.int64)
         self.rotation = np.linalg.qr(np.random.default_rng(3).standard_normal((dim, dim)))[0].astype(np.float32)
 
 
@@ -180,9 +188,8 @@ def nearest_neighbours(rows: DataFrame, k: int = 5, dim: int = 64) -> DataFrame:
     lengths, values that are not finite and all-zero vectors take no part. Equal vectors are searched once and expanded
     at the end, at most k + 1 of them for each; ties go to the smaller hash, then id. An empty table gives no rows.
 
-    Each vector is sent once to every group of cells it looks into, about three times in all. Groups grow only beyond
-    ``MAX_CELLS`` * ``CELL`` vectors or by vectors that are close but not equal; they are then cut into blocks of
-    members, each searched by all queries of the group.
+    Each vector is sent once to every group of cells it looks into, about three times in all. Groups of more than ``BLOCK`` members, as
+    counted in the sample, are cut into blocks of members, each searched by all queries of the group.
     """
     spark = rows.sparkSession
     usable = rows.where(is_usable(F.col("embedding"), dim)).select("chunk_id", "indexed_at", F.xxhash64("embedding").alias("h"), "embedding")
@@ -190,9 +197,10 @@ def nearest_neighbours(rows: DataFrame, k: int = 5, dim: int = 64) -> DataFrame:
     current = ids.select("h").distinct()
     vectors = usable.groupBy("h").agg(F.first("embedding").alias("embedding")).join(current, "h", "left_semi")
 
-    n = rows.count()
+    # Copies of a vector count once here too, so that a frequent one does not take the places of others.
+    n = current.count()
     share = max(1, -(-n // SAMPLE))
-    sample = usable.where(F.pmod(F.col("h"), F.lit(share)) == 0).select("embedding").limit(2 * SAMPLE).toPandas()["embedding"]
+    sample = vectors.where(F.pmod(F.col("h"), F.lit(share)) == 0).orderBy("h").select("embedding").toPandas()["embedding"]
     x = np.stack(sample.to_numpy()).astype(np.float32) if len(sample) else np.zeros((0, dim), np.float32)
     cells = Cells(x / np.linalg.norm(x, axis=1, keepdims=True) if len(x) else x, n, dim)
     sent = spark.sparkContext.broadcast(cells)
@@ -220,18 +228,14 @@ def nearest_neighbours(rows: DataFrame, k: int = 5, dim: int = 64) -> DataFrame:
             g, i = np.concatenate(out_g), np.concatenate(out_i)
             order = np.argsort(i, kind="stable")
             g, i = g[order], i[order]
-            yield pd.DataFrame({"g": g, "member": g == groups[i, 0], "h": hs[i], "v": [raw[t] for t in i]})
-
-    sent_rows = vectors.mapInPandas(visits, "g int, member boolean, h long, v binary")
-    # Groups whose members are many are cut into blocks; counts by group are a few thousand rows at most.
-    blocks = max(1, -(-n // (MAX_CELLS * CELL)))
-    if blocks > 1:
-        sent_rows = sent_rows.withColumn("b", F.explode(F.when(F.col("member"), F.array(F.pmod("h", F.lit(blocks)))).otherwise(F.array(*[F.lit(i).cast("long") for i in range(blocks)]))))
-        own = sent_rows.where("member").drop("b").withColumn("b", F.explode(F.array(*[F.lit(i).cast("long") for i in range(blocks)]))).where(F.pmod("h", F.lit(blocks)) != F.col("b")).withColumn("member", F.lit(False))
-        sent_rows = sent_rows.unionByName(own)
-    else:
-        sent_rows = sent_rows.withColumn("b", F.lit(0).cast("long"))
-
+            # Large groups are cut into blocks of members, each searched by all queries of the group.
+            count = c.blocks[g]
+            b = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            g, i = np.repeat(g, count), np.repeat(i, count)
+            member = (g == groups[i, 0]) & (hs[i] % c.blocks[g] == b)
+            yield pd.DataFrame({"g": g, "b": b, "member": member, "h": hs[i], "v": [raw[t] for t in i]})
+
+    sent_rows = vectors.mapInPandas(visits, "g int, b long, member boolean, h long, v binary")
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         c = sent.value
         v = np.frombuffer(b"".join(pdf["v"]), dtype=np.float32).reshape(len(pdf), dim)

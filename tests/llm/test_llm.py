@@ -193,6 +193,30 @@ def test_neighbours_against_brute_force(spark):
     assert neighbours.nearest_neighbours(df.limit(0)).count() == 0
 
 
+def test_a_hot_vector_takes_no_cells_from_others(spark, monkeypatch):
+    """One vector and its near copies are half the rows, and groups are cut; recall stays."""
+    monkeypatch.setattr(neighbours, "BLOCK", 100)
+    g = np.random.default_rng(11)
+    hot = g.standard_normal(64)
+    x = np.concatenate([np.repeat(hot[None], 3000, axis=0), hot + 0.05 * g.standard_normal((1000, 64)), np.repeat(g.standard_normal((400, 64)), 10, axis=0) + 0.2 * g.standard_normal((4000, 64))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(f"{i:05}", [float(v) for v in np.float32(r)], 0) for i, r in enumerate(x)]
+    seen = []
+    made = neighbours.Cells.__init__
+    monkeypatch.setattr(neighbours.Cells, "__init__", lambda self, sample, n, dim: seen.append((n, self)) or made(self, sample, n, dim))
+    df = spark.createDataFrame(rows, "chunk_id string, embedding array<float>, indexed_at int")
+    got = {(r[0], r[1]) for r in neighbours.nearest_neighbours(df).select("chunk_id", "neighbour_id").collect()}
+    assert seen[0][0] == 5001 and len(np.unique(seen[0][1].centroids, axis=0)) == len(seen[0][1].centroids) and seen[0][1].blocks.max() > 1
+    s = x[3000:] @ x.T
+    want = set()
+    for i in range(len(s)):
+        s[i, 3000 + i] = -9
+        # Among equal copies of the hot vector those with the smallest ids stand.
+        s[i, 5:3000] = -9
+        want |= {(f"{3000 + i:05}", f"{j:05}") for j in np.argsort(-s[i])[:5]}
+    assert len(want & got) >= 0.98 * len(want)
+
+
 def test_error_bounds_hold():
     g = np.random.default_rng(1)
     x = g.standard_normal((300, 64)).astype(np.float32)

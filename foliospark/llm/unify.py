@@ -211,12 +211,20 @@ def unify(texts: DataFrame) -> DataFrame:
 def same_looking_pairs(texts: DataFrame) -> DataFrame:
     """(doc_id_a, doc_id_b), a < b: documents that look the same while their stored texts differ.
 
-    Null, empty and blank texts take no part. Only groups with different stored texts are expanded: the smallest and
-    largest hash of each group are found by partial aggregation first.
+    Null, empty and blank texts take no part. Different stored texts of a look are paired first, then expanded to their
+    documents, so that exact copies are never compared with each other.
     """
     h = unify(texts.select("doc_id", "text").where("text IS NOT NULL")).where(F.length(F.trim("unified")) > 0)
     h = checkpointed(h.select("doc_id", F.md5("unified").alias("look"), F.md5("text").alias("stored")).distinct())
-    mixed = h.groupBy("look").agg(F.min("stored").alias("a"), F.max("stored").alias("b")).where("a <> b").select("look")
-    g = h.join(mixed, "look", "left_semi")
-    a, b = (g.select("look", F.col("stored").alias(f"s_{x}"), F.col("doc_id").alias(f"doc_id_{x}")) for x in "ab")
-    return a.join(b, "look").where("doc_id_a < doc_id_b AND s_a <> s_b").select("doc_id_a", "doc_id_b").distinct()
+    a, b = (h.select("look", F.col("stored").alias(f"s_{x}"), F.col("doc_id").alias(f"doc_id_{x}")) for x in "ab")
+    pairs = form_pairs(h).join(a, ["look", "s_a"]).join(b, ["look", "s_b"])
+    return pairs.select(F.least("doc_id_a", "doc_id_b").alias("doc_id_a"), F.greatest("doc_id_a", "doc_id_b").alias("doc_id_b")).where("doc_id_a <> doc_id_b").distinct()
+
+
+def form_pairs(h: DataFrame) -> DataFrame:
+    """(look, s_a, s_b), s_a < s_b: the different stored texts of a look, paired before any document is."""
+    forms = h.select("look", "stored").distinct()
+    mixed = forms.groupBy("look").agg(F.count("*").alias("n")).where("n > 1").select("look")
+    forms = forms.join(mixed, "look", "left_semi")
+    a, b = (forms.select("look", F.col("stored").alias(f"s_{x}")) for x in "ab")
+    return a.join(b, "look").where("s_a < s_b")

@@ -388,6 +388,13 @@ def test_same_looking_pairs(spark):
     assert u[14] is None and u[15] == "" and len({u[i] for i in same}) == 1
 
 
+def test_copies_of_one_text_are_not_paired_with_each_other(spark):
+    rows = [(i, "L", "x") for i in range(500)] + [(900, "L", "y"), (901, "M", "z"), (902, "M", "z")]
+    assert [tuple(r) for r in unify.form_pairs(spark.createDataFrame(rows, "doc_id long, look string, stored string")).collect()] == [("L", "x", "y")]
+    texts = spark.createDataFrame([(i, "office") for i in range(500)] + [(900, "o\ufb03ce")], "doc_id long, text string")
+    assert {tuple(r) for r in unify.same_looking_pairs(texts).collect()} == {(i, 900) for i in range(500)}
+
+
 def test_representatives_follow_frequency():
     m = unify.representatives({"e": 5, "е": 9})
     assert m["e"] == "е" and "е" not in m

@@ -238,12 +238,49 @@ def test_garbled_text_is_found_and_restored(spark, true, wrong):
     assert got[0]["restored"] == clean or "�" in bad
 
 
-def test_double_garbling_is_undone():
-    s = "naïve reading costs €14"
-    once = garble.wrong_decode(s.encode(), "cp1252")
-    twice = garble.wrong_decode(once.encode(), "cp1252")
-    assert garble.repair_directly(once) == (s, True) and garble.repair_directly(twice) == (s, True)
-    assert garble.repair_directly(s) == (s, False) and garble.repair_directly(None) == (None, False)
+def garbled_table(spark, clean, bad):
+    rows = [("c", i, f"{i} {t}") for i, t in enumerate(clean)] + [("b", i, t) for i, t in enumerate(bad)]
+    got = garble.find_garbled(spark.createDataFrame(rows, "document_id string, sequence int, text string")).collect()
+    return {(r["document_id"], r["sequence"]): r["restored"] for r in got}
+
+
+def test_repeated_and_partial_garbling_is_undone(spark):
+    s = "The naïve reading costs €14 and the “café” isn’t open."
+    once = garble.garble(s, garble.Chain("utf-8", "cp1252"))
+    twice = garble.garble(s, garble.Chain("utf-8", "cp1252", 2))
+    part = s + " " + garble.garble("It isn’t naïve.", garble.Chain("utf-8", "mac-roman"))
+    lost = s.replace("ï", "\ufffd")
+    assert garbled_table(spark, [s] * 3, [once, twice, part, lost]) == {("b", 0): s, ("b", 1): s, ("b", 2): s + " It isn’t naïve.", ("b", 3): s}
+
+
+def test_every_chain_of_two_byte_encodings_is_found(spark):
+    """Sentences of scripts without spaces, of any length, beside clean text, where the whole run stands nowhere else."""
+    texts = {
+        "cp949": ["모든 공용 보고서는 내부 예산을 북쪽 출입구에서 교체합니다.", "내부 예산을 북쪽 출입구에서 모든 보고서는 교체합니다."],
+        "gbk": ["如果没有损坏的规程，钥匙下次审计前预约紧急的规程。", "负责人每周一次更新了内部的工作台和封面。"],
+        "big5": ["如果沒有損壞的規程，鑰匙下次審計前預約緊急的規程。", "負責人每週一次更新了內部的工作檯和封面。"],
+        "ja": ["臨時の報告書は書面の依頼により緊急のセンサーを分離します。", "手動のサーバーは共有フォルダーで申請書を確認します。"],
+    }
+    chains = [c for c in garble.CHAINS if c.true in ("gbk", "euc_jp", "cp932", "cp949", "big5")]
+    clean = [t for pair in texts.values() for t in [*pair, "".join(pair)] * 10]
+    bad = [garble.garble(a + b * 3, c) for c in chains for a, b in [texts.get(c.true, texts["ja"])]]
+    got = garbled_table(spark, clean, bad)
+    assert {k[0] for k in got} == {"b"} and [c for i, c in enumerate(chains) if ("b", i) not in got] == []
+    whole = [a + b * 3 == got["b", i] for i, c in enumerate(chains) for a, b in [texts.get(c.true, texts["ja"])] if "�" not in bad[i]]
+    assert sum(whole) >= 0.8 * len(whole)
+
+
+def test_a_garbled_word_of_very_many_texts(spark):
+    rows = [("d", i, f"{i} café") for i in range(300)] + [("d", 1000 + i, f"{i} cafÃ©") for i in range(200)]
+    got = garble.find_garbled(spark.createDataFrame(rows, "document_id string, sequence int, text string")).collect()
+    assert {r["sequence"] for r in got} == set(range(1000, 1200)) and all(r["restored"].endswith("café") for r in got)
+    assert garble.find_garbled(spark.createDataFrame([], "document_id string, sequence int, text string")).count() == 0
+
+
+def test_filters_keep_nothing_out(spark):
+    keys = [random.Random(3).randint(-(2**63), 2**63 - 1) for _ in range(3000)]
+    has = garble.key_filter(spark.createDataFrame([(k,) for k in keys], "key long"), 1 << 16)
+    assert garble.passes(has, np.array(keys, dtype=np.int64)).all() and garble.passes(has, np.arange(10000, dtype=np.int64)).mean() < 0.2
 
 
 # ---------------------------------------------------------------- problem 5

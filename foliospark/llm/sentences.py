@@ -7,21 +7,39 @@ language column may be wrong and only adds its own abbreviations.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 import regex as re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Abbreviations by language. "any": no end whatever follows; "number": no end before a digit;
-# "open": an end only before a capital letter.
+# Abbreviations by language, as public suppression lists have them. "any": no end whatever follows;
+# "number": no end before a digit; "open": an end only before a capital letter.
 ABBREVIATIONS = {
-    "en": {"any": "dr mr mrs ms prof st cf e.g i.e vs viz approx", "number": "no nos fig figs sec ch vol pp p eq art min max jan feb mar apr jun jul aug sep sept oct nov dec", "open": "etc inc ltd co corp dept u.s u.k a.m p.m jr sr al"},
-    "de": {"any": "dr prof hr fr vgl z.b d.h u.a bzw z evtl ggf bspw", "number": "nr abb kap s bd abs art ca tel", "open": "usw str gmbh etc"},
-    "fr": {"any": "m mm mme mlle dr p.ex cf env", "number": "art fig chap p pp vol n", "open": "etc ex av"},
-    "hi": {"any": "डॉ श्री श्रीमती प्रो रु पं", "number": "सं पृ", "open": ""},
-    "ko": {"any": "", "number": "", "open": ""},
+    "en": {
+        "any": "dr mr mrs ms mx messrs prof st cf e.g i.e vs viz approx maj capt lt sgt cmdr gov supt",
+        "number": "no nos fig figs sec ch chap vol vols pp p eq eqs art min max ver para jan feb mar apr jun jul aug sep sept oct nov dec",
+        "open": "etc inc ltd co corp bros llc dept est u.s u.k u.n a.m p.m jr sr al ph.d d.c b.c a.d",
+    },
+    "de": {
+        "any": "dr prof hr fr frl dipl ing vgl z.b d.h u.a bzw z evtl ggf bspw sog i.d.r u.u m.e o.g inkl exkl insb",
+        "number": "nr nrn abb kap s bd bde abs art ca tel tab aufl jh mio mrd jan feb mär apr jun jul aug sep sept okt nov dez",
+        "open": "usw str gmbh etc v.chr n.chr dgl",
+    },
+    "fr": {
+        "any": "m mm mme mmes mlle mlles dr p.ex cf env c.-à-d st ste",
+        "number": "art fig chap p pp vol n tél éd janv févr avr juil sept oct nov déc",
+        "open": "etc ex av apr j.-c",
+    },
+    "es": {"any": "sr sra srta dr dra d dña prof p.ej ud uds", "number": "núm art fig cap pág págs vol tel", "open": "etc ee.uu a.c d.c"},
+    "it": {"any": "sig sig.ra dott prof ing avv p.es cfr", "number": "art fig cap pag pagg vol tel n", "open": "ecc s.p.a s.r.l"},
+    "pt": {"any": "sr sra dr dra prof eng p.ex", "number": "art fig cap pág págs vol tel", "open": "etc ltda"},
+    "hi": {"any": "डॉ श्री श्रीमती कु प्रो रु पं स्व", "number": "सं पृ क्र", "open": ""},
+    "ko": {"any": "", "number": "no vol pp", "open": "co ltd inc"},
 }
 MONTHS = set("januar februar märz april mai juni juli august september oktober november dezember".split())
 # German words before an ordinal number.
@@ -34,11 +52,20 @@ _CLOSERS = {c for v in PAIRS.values() for c in v}
 
 _TERM = re.compile(r"(?:[\p{Sentence_Break=STerm}\p{Sentence_Break=ATerm}…])+")
 _CLOSE = re.compile(r"""[\p{Pe}\p{Pf}”“»›」』）】"'’]*""")
-_WORD_BEFORE = re.compile(r"[^\s()\[\]“„\"«「『（]+$")
+_MARKS = re.compile("[" + "".join(re.escape(c) for c in sorted(set(PAIRS) | _CLOSERS)) + "]|\n(?=\n)")
+_SPACES, _WORD, _LETTER = re.compile(r"\s*"), re.compile(r"\w+"), re.compile(r"[\p{L}\p{N}]")
+_STOPS = set("()[]“„\"«「『（")
+_DATE = re.compile(r"\d{4}\.(?:\s*\d{1,2}\.)*\s*\d{0,2}$")
+_INITIALS = re.compile(r"(?:[^\W\d_]\.)+[^\W\d_]")
+_ENDED = re.compile(r"[\p{Sentence_Break=STerm}\p{Sentence_Break=ATerm}…][\p{Pe}\p{Pf}”“\"'’]*$")
+_THAI_GAP, _THAI_REST = re.compile(r"(?<=[฀-๿])[^\S\n]+(?=\S)"), re.compile(r"[\d%.,)ๆฯ]")
+# Characters that are looked back over for an abbreviation or a number; none is longer.
+BACK = 40
 _FULL = set("。！？｡")
-_LINES = re.compile(r"[^\S\n]*\n\s*")
+_LINES = re.compile(r"\n\s*")
 _KO_NOUN = re.compile(r"(?:[함됨임]|[가-힣]음)$")
-_KO_NOT = re.compile(r"(?:보관함|다음|처음|포함|마음)$")
+# Nouns that end like the noun form of a verb.
+_KO_NOT = re.compile(r"(?:보관함|사서함|우편함|우체함|군함|잠수함|포함|다음|처음|마음|얼음|소음|녹음|발음|모임|책임|게임|프레임|타임)$")
 
 
 def _sets(language: str | None) -> dict[str, set[str]]:
@@ -52,20 +79,33 @@ def _sets(language: str | None) -> dict[str, set[str]]:
 def _spans(text: str) -> list[tuple[int, int]]:
     """Matched quotations and brackets (positions of both marks); those that do not close within a paragraph are none."""
     found, stack = [], []
-    for i, ch in enumerate(text):
-        if ch == "\n" and text[i + 1 : i + 2] == "\n":
+    awaited: Counter = Counter()  # closing marks that would close something open
+    for m in _MARKS.finditer(text):
+        i, ch = m.start(), m.group()
+        if ch == "\n":
             stack = []
-        elif ch in _CLOSERS and any(ch in PAIRS[o] for o, _ in stack):
+            awaited.clear()
+        elif ch in _CLOSERS and awaited[ch] > 0:
             while stack:
                 o, start = stack.pop()
+                awaited.subtract(PAIRS[o])
                 if ch in PAIRS[o]:
                     found.append((start, i))
                     break
         elif ch in PAIRS:
             stack.append((ch, i))
+            awaited.update(PAIRS[ch])
     return found
 
 
+def _word_start(text: str, i: int) -> int:
+    """Where the word before position i starts; longer words than ``BACK`` are cut."""
+    k = i
+    while k > 0 and i - k < BACK and not text[k - 1].isspace() and text[k - 1] not in _STOPS:
+        k -= 1
+    return k
+
+
 def _korean_end(line: str) -> bool:
     """A finished predicate: a noun form, a polite ending, or a past form before -da."""
     if _KO_NOT.search(line):
@@ -96,48 +136,39 @@ def _line_ends(text: str, a: int, b: int) -> bool:
         return _korean_end(text[text.rfind("\n", 0, a) + 1 : a])
     if not before.isalnum() or before.isdigit():
         return False
-    # Latin and other cased scripts: a statement of its own starts with a capital and follows a statement that did too,
-    # but German nouns are capitalised in mid sentence: there only a function word counts as a start.
-    return after.isupper() and _STARTS.match(text, b) is not None
-
-
-_STARTS = re.compile(r"(?:The|A|An|If|When|Before|Every|Please|See|Use|Is|Are|Approx|Both|Mr|Ms|Dr|Wait|Die|Der|Das|Wenn|Vor allem|Am|Ca|Sind|Les|Le|La|Quand|Même|Où|M|L)\b")
+    # Latin and other cased scripts: without an end mark a line goes on, as German nouns and names are capitalised too.
+    return False
 
 
 def boundaries(text: str | None, language: str | None = None) -> list[int]:
     """End positions (code points, exclusive) of the sentences of a text; null, empty or blank text has none."""
     if not text or not text.strip():
         return []
-    sets, spans = _sets(language), _spans(text)
-    inner = sorted((a, b) for a, b in spans)
+    sets, spans = _sets(language), sorted(_spans(text))
+    starts, closes = [a for a, _ in spans], {b for _, b in spans}
+    farthest = list(accumulate((b for _, b in spans), max))
     ends: list[int] = []
     cuts: list[int] = []
 
     def enclosing_end(i: int) -> int:
         """The end of the outermost span that holds position i, or -1."""
-        end = -1
-        for a, b in inner:
-            if a >= i:
-                break
-            if a < i < b:
-                end = max(end, b)
-        return end
-
-    n = len(text)
+        k = bisect_left(starts, i)
+        return farthest[k - 1] if k and farthest[k - 1] > i else -1
+
+    last = len(text.rstrip())
     for m in _TERM.finditer(text):
         i, j = m.span()
         if enclosing_end(i) >= 0:
             # Inside a quotation or bracket: only the place after its close can be an end.
             close = _CLOSE.match(text, j).end()
             out = enclosing_end(i)
-            if out >= close or not any(b == close - 1 for _, b in spans):
+            if out >= close or close - 1 not in closes:
                 continue
             k, quoted = close, True
         else:
             k, quoted = _CLOSE.match(text, j).end(), False
         marks = m.group()
-        rest = text[k : k + 1]
-        gap = re.match(r"\s*", text[k:]).end()
+        gap = _SPACES.match(text, k).end() - k
         nxt = text[k + gap : k + gap + 1]
         line = "\n" in text[k : k + gap]
         if not nxt:
@@ -164,8 +195,8 @@ def boundaries(text: str | None, language: str | None = None) -> list[int]:
                 continue
             if nxt.islower():
                 continue
-            word = _WORD_BEFORE.search(text, 0, i)
-            w = word.group() if word else ""
+            begin = _word_start(text, i)
+            w = text[begin:i]
             lw = w.lower().rstrip(".")
             if lw in sets["any"] or (lw in sets["number"] and not nxt.isupper() and (nxt.isdigit() or not nxt.isalpha())):
                 continue
@@ -173,22 +204,23 @@ def boundaries(text: str | None, language: str | None = None) -> list[int]:
                 continue
             if lw in sets["open"] and not nxt.isupper() and not _is_unspaced(nxt):
                 continue
-            prev = text[: word.start()].rstrip() if word else ""
-            before = re.search(r"\S+$", prev[-40:])
-            pw = before.group() if before else ""
+            while begin > 0 and w and text[begin - 1].isspace():
+                begin -= 1
+            before = text[max(0, begin - BACK) : begin].split() if w else []
+            pw = before[-1] if before else ""
             if len(w) == 1 and w.isupper():
                 if pw.rstrip(".").lower() in ("z", "u", "d", "p"):
                     continue
                 if not (pw.islower() or pw.lower() in PLACES):
                     continue
             if w.isdigit():
-                follow = re.match(r"\w+", text[k + gap :])
+                follow = _WORD.match(text, k + gap, k + gap + BACK)
                 if follow and (follow.group().lower() in MONTHS or (len(w) < 3 and pw.lower() in ORDINAL_LEAD)):
                     continue
-                if re.search(r"\d{4}\.(?:\s*\d{1,2}\.)*\s*\d{0,2}$", text[max(0, i - 14) : i]) or re.fullmatch(r"\d{4}", w):
+                if _DATE.search(text[max(0, i - 14) : i]) or re.fullmatch(r"\d{4}", w):
                     if "가" <= nxt <= "힣" or nxt.isdigit():
                         continue
-            if re.fullmatch(r"(?:[^\W\d_]\.)+[^\W\d_]", w) and lw not in sets["open"] and nxt.isalpha() and not nxt.isupper():
+            if _INITIALS.fullmatch(w) and lw not in sets["open"] and nxt.isalpha() and not nxt.isupper():
                 continue
             cuts.append(k)
             continue
@@ -199,30 +231,30 @@ def boundaries(text: str | None, language: str | None = None) -> list[int]:
     done = set(cuts)
     for m in _LINES.finditer(text):
         a, b = m.span()
-        if a == 0 or a in done or not text[a:].strip():
+        while a > 0 and text[a - 1].isspace():
+            a -= 1
+        if a == 0 or a in done or a >= last:
             continue
         if enclosing_end(a) >= 0:
             continue
         tail = text[max(0, a - 4) : a]
-        if re.search(r"[\p{Sentence_Break=STerm}\p{Sentence_Break=ATerm}…][\p{Pe}\p{Pf}”“\"'’]*$", tail) and text.count("\n", a, b) == 1:
+        if _ENDED.search(tail) and text.count("\n", a, b) == 1:
             continue
         if _line_ends(text, a, b):
             cuts.append(a)
     if re.search(r"[฀-๿]", text):
-        for m in re.finditer(r"(?<=[฀-๿])[^\S\n]+(?=\S)", text):
-            if enclosing_end(m.start()) < 0 and not re.match(r"[\d%.,)ๆฯ]", text[m.end() :]):
+        for m in _THAI_GAP.finditer(text):
+            if enclosing_end(m.start()) < 0 and not _THAI_REST.match(text, m.end()):
                 cuts.append(m.start())
     start = 0
     for c in sorted(set(cuts)):
-        if re.search(r"[\p{L}\p{N}]", text[start:c]):
+        if _LETTER.search(text, start, c):
             ends.append(c)
-            start = c
         elif ends and text[start:c].strip():
             ends[-1] = c
-            start = c
-    last = len(text.rstrip())
+        start = c
     if not ends or ends[-1] < last:
-        if not ends or re.search(r"[\p{L}\p{N}]", text[ends[-1] : last]):
+        if not ends or _LETTER.search(text, ends[-1], last):
             ends.append(last)
         else:
             ends[-1] = last

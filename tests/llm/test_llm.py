@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 import unicodedata
 
 import numpy as np
@@ -312,6 +313,20 @@ def test_sentences(text, n):
         assert b[-1] == len(text.rstrip()) and b == sorted(set(b))
 
 
+def test_time_grows_with_the_length_of_a_text():
+    part = "Dr. Kelsen asked (see Fig. 3. Then wait.) whether it was set to 9.75 bar. “It was. Done.” No. 5 stays\nin building C. "
+    t = {}
+    for n in (200, 4000):
+        start = time.perf_counter()
+        b = sentences.boundaries(part * n)
+        t[n] = time.perf_counter() - start
+        assert len(b) == n * len(sentences.boundaries(part))
+    assert t[4000] < 60 * t[200] + 0.5
+    for odd in ("(" * 100000 + ")", ". " * 50000, "a\n" * 50000, " " * 200000 + "a.", '"' * 50001):
+        start = time.perf_counter()
+        assert len(sentences.boundaries(odd)) == 1 and time.perf_counter() - start < 10
+
+
 def test_sentence_ends_on_a_table(spark):
     df = spark.createDataFrame([(1, "One. Two.", None, 5), (1, "One. Two.", None, 5), (2, None, "en", 5), (3, "x" * 50000, "zz", 5)], "k int, text string, language string, ends_at int")
     got = [(r["k"], r["ends"]) for r in sentences.sentence_ends(df).orderBy("k").collect()]

@@ -319,12 +319,11 @@ def garbled_words(words: DataFrame) -> DataFrame:
     two_bytes = F.col("chain").isin([i for i, c in enumerate(CHAINS) if c.true == "utf-8"]) & (F.length("form") == 2) & (F.length("word") == 1) & rarer
     met = met.withColumn("sure", lost | two_bytes | (~back & ((beyond >= 3) | letters))).withColumn("unsure", back & ~letters & (beyond >= 3) & rarer)
     runs = words.where("word IS NOT NULL AND NOT window").select("word", "n")
-    mixed = met.where(back & letters & ~lost)
     for c in ("form", "word"):
-        mixed = mixed.join(runs.select(F.col("word").alias(f"{c}_run"), F.col("n").alias(f"{c}_n")), f"{c}_run", "left")
-    mixed = mixed.where("n >= ng AND coalesce(word_n, 0) > coalesce(form_n, 0)").withColumn("sure", F.lit(True))
+        met = met.join(runs.select(F.col("word").alias(f"{c}_run"), F.col("n").alias(f"{c}_n")), f"{c}_run", "left")
+    mixed = back & letters & (F.col("n") >= F.col("ng")) & (F.coalesce("word_n", F.lit(0)) > F.coalesce("form_n", F.lit(0)))
     columns = ["key", "form", "word", "chain", "n", "sure"]
-    found = checkpointed(met.where("sure OR unsure").select(*columns).unionByName(mixed.select(*columns)))
+    found = checkpointed(met.withColumn("sure", F.col("sure") | mixed).where("sure OR unsure").select(*columns))
     dirty = found.where("sure").select(F.col("form").alias("word"), F.lit(False).alias("clean")).distinct()
     return found.join(dirty, "word", "left").withColumn("clean", F.coalesce("clean", F.lit(True)))
 
@@ -346,7 +345,7 @@ def restore_text(text: str, hits: list[Hit]) -> str:
     garbling the result gives the text again. Lost characters stay lost where no word tells them.
     """
     hits = sorted(hits, key=lambda h: (h.clean, h.n, h.word))
-    whole = {h.form: h.word for h in hits}
+    whole = {h.form: h.word for h in hits if h.clean}
     windows = {h.form for h in hits if len(h.form) == WINDOW}
     told = [h for h in hits if h.form != "�"]
     votes = Counter(h.chain for h in told if h.clean) or Counter(h.chain for h in told)
@@ -363,9 +362,9 @@ def restore_text(text: str, hits: list[Hit]) -> str:
             chain = CHAINS[c]
             if chain.wrong in _TABLES and chain.true in _TABLES:
                 continue  # any Latin text could be undone so
-            if chain.wrong in _TABLES:
+            if chain.wrong in _TABLES and (chain.true == "utf-8" or held or not re.search("[A-Za-z]", token)):
                 tried.append(_BYTES_OF[chain.wrong].sub(lambda x: _undone(x.group(), chain), token))  # noqa: B023
-            elif held:
+            elif chain.wrong not in _TABLES and held:
                 tried.append(_undone(token, chain))
         tried = [x for x in tried if x != token]
         if tried:

@@ -19,6 +19,7 @@ import regex as re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.llm.filters import key_filter, passes
 from foliospark.session import checkpointed, shuffle_partitions
 
 
@@ -47,9 +48,8 @@ REPEATED = ("cp1252", "latin-1", "cp437", "mac-roman")
 # Chains whose reverse is a chain as well: a garbled word has its original as a "form".
 TWO_WAY = {(t, w) for t, w in STEPS if (w, t) in STEPS and "utf-8" not in (t, w)}
 
-# Characters of a window, and bits of the filters that spare the shuffle what surely has no partner (8 MB each at most).
-WINDOW, BITS = 4, 1 << 26
-SALTS = 8
+# Characters of a window, and parts into which the texts with one garbled word are spread.
+WINDOW, SALTS = 4, 8
 _TOKEN = re.compile(r"[^\x00-\x3f]*[^\x00-\x7f][^\x00-\x3f]*")
 _RUN = re.compile(r"[^\x00-\x7f]+")
 _LOST = re.compile("�{2,}")
@@ -233,24 +233,6 @@ def words_in(texts: list[str], has: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.repeat(np.array(owner), count), key[at]
 
 
-# ---------------------------------------------------------------- filters
-def key_filter(keys: DataFrame, bits: int = BITS) -> np.ndarray:
-    """Bits of the keys, ``bits`` at most whatever the table's size; it may let strangers pass and never keeps a key out."""
-    p = F.pmod(F.col("key"), F.lit(bits)) + 1  # positions count from 1
-    rows = keys.select(p.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).collect()
-    out = np.zeros(bits // 8, dtype=np.uint8)
-    for r in rows:
-        part = np.frombuffer(bytes(r["m"]), dtype=np.uint8)
-        at = (r["b"] - 1) * len(part)
-        out[at : at + len(part)] = part[: len(out) - at]
-    return out
-
-
-def passes(has: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    p = keys & np.int64(len(has) * 8 - 1)
-    return (has[p >> 3] >> (p & 7).astype(np.uint8)) & 1 > 0
-
-
 # ---------------------------------------------------------------- the table of garbled forms
 def forms(words: list[str], n: np.ndarray, windows: bool, has: np.ndarray) -> pd.DataFrame:
     """(key, form, word, chain, n, form_run, word_run) of the garbled forms of words that a filter lets pass.

@@ -1,13 +1,12 @@
 """Evaluation passages inside training documents (problem 7).
 
-The passages' sentences give a hash set of character n-grams of the folded text, which is broadcast in blocks of items;
-the windows of every document are looked up in it, and places where two consecutive sentences of a passage may stand are
-verified by edit distance.
+All character n-grams of the folded sentences of the passages are a hash set that is broadcast; the windows of every
+document are looked up in it. Where a document shares enough windows with a sentence, and the sentence after it may stand
+next to it, both are verified by edit distance.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,15 +15,19 @@ import regex as re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.llm.filters import key_filter, passes
 from foliospark.llm.sentences import split
 from foliospark.llm.unify import Rewriter, representatives
+from foliospark.session import checkpointed
 
-# Items whose n-grams are broadcast together: about a hundred n-grams an item, so some 20 MB a block.
+# Items whose n-grams are broadcast together: some 500 n-grams of 16 bytes an item, so 40 MB a block.
 ITEM_BLOCK = 5000
-# A sentence is found if the edit distance is at most this part of its length: a changed, added or missing word.
-TOLERANCE = 0.25
-# Parts of a sentence that each give n-grams, and how many sentences may share an n-gram before it is left to others.
-PARTS, SHARED, LEAST = 6, 16, 3
+# A sentence is found if the edit distance is at most this part of its length, or if only its longest word may differ and
+# that is at most the second part; one of two sentences must keep within the first.
+TOLERANCE, ONE_WORD = 0.25, 0.45
+# So many windows in a row count as shared, and so much of a sentence's windows must be shared, or less where a changed
+# word leaves less; of one of two sentences, as many as one changed word leaves.
+ROW, SHARE = 4, 0.4
 SLACK = 40
 _NOT_TEXT = re.compile(r"[^\p{L}\p{N}\p{M}]+")
 _WIDE = re.compile(r"[ऀ-๿぀-ヿ一-鿿가-힣]")
@@ -63,87 +66,129 @@ def codes_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
+def sentences_of(items: list[tuple[int, str | None, str | None]]) -> list[tuple[int, int, str, int]]:
+    """(item, place, folded sentence, length of its longest word) of the sentences of items."""
+    fold, out = folder(), []
+    for item_id, passage, language in items:
+        folded = [(f, max((len(fold(w)) for w in x.split()), default=0)) for x in split(passage, language) if (f := fold(x))]
+        out += [(item_id, i, f, longest) for i, (f, longest) in enumerate(folded)]
+    return out
+
+
+def grams_of(texts: list[str]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By n-gram size: (hash, number of the text, offset) of all n-grams; texts shorter than the size give one of their length."""
+    groups: dict[int, list[int]] = {}
+    for k, s in enumerate(texts):
+        groups.setdefault(min(gram_size(s), len(s)), []).append(k)
+    out = {}
+    for n, ks in groups.items():
+        h = [window_hashes(codes_of(texts[k]), n) for k in ks]
+        count = [len(x) for x in h]
+        out[n] = np.concatenate(h), np.repeat(np.array(ks), count), np.concatenate([np.arange(c) for c in count])
+    return out
+
+
+def in_rows(hit: np.ndarray, row: int) -> np.ndarray:
+    """Those of ``hit`` that stand in ``row`` or more in a row."""
+    edge = np.flatnonzero(np.diff(np.r_[False, hit, False].astype(np.int8)))
+    out = np.zeros(len(hit), dtype=bool)
+    for a, b in edge.reshape(-1, 2)[np.diff(edge.reshape(-1, 2), axis=1)[:, 0] >= row].tolist():
+        out[a:b] = True
+    return out
+
+
 class Index:
-    """Look-up tables of a block of items: n-gram hash to (sentence, offset)."""
+    """The n-grams of a block of items: hash to (sentence, offset)."""
 
-    def __init__(self, items: list[tuple[int, str | None, str | None]]):
-        fold = folder()
-        self.sentences: list[str] = []
-        self.item: list[int] = []
-        self.place: list[int] = []
-        for item_id, passage, language in items:
-            folded = [f for f in (fold(x) for x in split(passage, language)) if f]
-            for i, f in enumerate(folded):
-                self.sentences.append(f)
-                self.item.append(item_id)
-                self.place.append(i)
-        shared: Counter = Counter()
-        for s in self.sentences:
-            n = min(gram_size(s), len(s))
-            shared.update(set(window_hashes(codes_of(s), n).tolist()))
-        grams: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for k, s in enumerate(self.sentences):
-            n = min(gram_size(s), len(s))
-            h = window_hashes(codes_of(s), n).tolist()
-            best = []
-            for part in range(PARTS):
-                at = range(len(h) * part // PARTS, len(h) * (part + 1) // PARTS)
-                best += [sorted((shared[h[i]], i) for i in at)[:2]]
-            best = sorted(x for x in best if x)
-            kept = [x for x in best if x[0][0] <= SHARED]
-            for x in kept if len(kept) >= LEAST else best[:LEAST]:
-                for _, i in x:
-                    grams[n][h[i]].append((k, i))
+    def __init__(self, sentences: list[tuple[int, int, str, int]]):
+        self.item, self.place, self.sentences, self.longest = ([x[i] for x in sentences] for i in range(4))
+        self.length = np.array([len(s) for s in self.sentences], dtype=np.int64)
+        size = np.array([min(gram_size(s), len(s)) for s in self.sentences], dtype=np.int64)
+        windows = self.length - size + 1
+        self.left = np.maximum(windows - np.array(self.longest, dtype=np.int64).clip(max=np.maximum(self.length // 4, 1)) - size - 2, np.minimum(ROW, windows))
+        # Whether a changed word surely leaves windows in a row, on one side of it.
+        self.tells = windows >= 2 * ROW + np.array(self.longest, dtype=np.int64).clip(max=np.maximum(self.length // 4, 1)) + size
+        self.least = np.minimum(SHARE * windows, self.left)
         self.tables = {}
-        for n, g in grams.items():
-            keys = np.array(sorted(g), dtype=np.uint64)
-            starts = np.cumsum([0, *(len(g[int(x)]) for x in keys)])
-            flat = np.array([p for x in keys for p in g[int(x)]], dtype=np.int64).reshape(-1, 2)
+        for n, (h, k, offset) in grams_of(self.sentences).items():
+            order = np.argsort(h, kind="stable")
+            keys, first = np.unique(h[order], return_index=True)
             bits = np.zeros(_MASK + 1, dtype=bool)
             bits[(keys & np.uint64(_MASK)).astype(np.int64)] = True
-            self.tables[n] = (keys, starts, flat, bits)
+            self.tables[n] = keys, np.r_[first, len(h)], k[order].astype(np.int32), offset[order].astype(np.int32), bits
 
     def search(self, texts: list[str]) -> Iterator[tuple[int, int]]:
         """(number of the text, item_id) of the folded texts that hold two consecutive sentences of an item."""
         joined = codes_of("\0".join(texts))
         bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        found: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for n, (keys, starts, flat, bits) in self.tables.items():
+        where: dict[tuple[int, int], list[int]] = {}
+        strong: set[tuple[int, int]] = set()
+        for n, (keys, starts, sentence, offset, bits) in self.tables.items():
             h = window_hashes(joined, n)
-            maybe = np.flatnonzero(bits[(h & np.uint64(_MASK)).astype(np.int64)])
-            at = np.searchsorted(keys, h[maybe])
-            hit = (at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == h[maybe])
-            maybe, at = maybe[hit], at[hit]
-            doc = np.searchsorted(bounds, maybe, side="right") - 1
-            for pos, key, t in zip(maybe.tolist(), at.tolist(), doc.tolist()):
-                for k, offset in flat[starts[key] : starts[key + 1]].tolist():
-                    found[t].append((k, pos - int(bounds[t]) - offset))
-        for t, hits in found.items():
-            by: dict[int, set[int]] = defaultdict(set)
-            for k, start in hits:
-                by[k].add(start)
-            done = set()
-            for k in by:
-                item = self.item[k]
-                if item in done or k + 1 not in by or self.item[k + 1] != item:
+            hit = bits[(h & np.uint64(_MASK)).astype(np.int64)]
+            row = ROW if n in (5, 10) else 1
+            maybe = np.flatnonzero(in_rows(hit, row))
+            at = np.minimum(np.searchsorted(keys, h[maybe]), len(keys) - 1)
+            true = keys[at] == h[maybe]
+            maybe, at = maybe[true], at[true]
+            count = starts[at + 1] - starts[at]
+            entry = np.repeat(starts[at] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            k, pos = sentence[entry].astype(np.int64), np.repeat(maybe, count)
+            begin = pos - offset[entry]
+            # Windows of one sentence in a row stand at one place of its beginning.
+            need = np.minimum(row, np.maximum(1, self.length - n + 1))
+            key = k << np.int64(40) | begin + np.int64(1 << 20)
+            slot = (key * np.int64(0x9E3779B97F4A7C15 - (1 << 64))) >> np.int64(44) & np.int64(_MASK)
+            key = key[np.bincount(slot, minlength=_MASK + 1)[slot] >= need[k]]
+            place, number = np.unique(key, return_counts=True)
+            good = number >= need[place >> np.int64(40)]
+            place, number = place[good], number[good]
+            k, begin = place >> np.int64(40), (place & np.int64((1 << 40) - 1)) - np.int64(1 << 20)
+            doc = np.searchsorted(bounds, np.maximum(begin + self.length[k] // 2, 0), side="right") - 1
+            doc = np.minimum(doc, len(texts) - 1)
+            # Shared windows of a sentence in a text, wherever a word more or less has moved them.
+            pair, inverse = np.unique(doc << np.int64(32) | k, return_inverse=True)
+            shared, ks = np.bincount(inverse, number), pair & np.int64((1 << 32) - 1)
+            enough = (shared >= self.least[ks])[inverse]
+            sure = shared >= self.left[ks]
+            strong.update(zip((pair[sure] >> np.int64(32)).tolist(), ks[sure].tolist()))
+            for t, s, a in zip(doc[enough].tolist(), k[enough].tolist(), begin[enough].tolist()):
+                where.setdefault((t, s), []).append(a - int(bounds[t]))
+        done = set()
+        for (t, s), begins in where.items():
+            for first in (s - 1, s):
+                if first < 0 or first + 1 >= len(self.item) or self.item[first] != self.item[first + 1] or (t, self.item[s]) in done:
+                    continue
+                other = s - 1 if first < s else s + 1
+                if (t, s) not in strong and (t, other) not in strong:
                     continue
-                length = len(self.sentences[k])
-                slack = SLACK + length // 5
-                for a in sorted(by[k]):
-                    if any(abs(b - a - length) <= slack for b in by[k + 1]) and self._verify(texts[t], k, a):
-                        done.add(item)
-                        yield t, item
-                        break
+                # The other sentence shares windows beside it as well, unless it is too short to tell.
+                step, near = int(self.length[first]) * (1 if first == s else -1), where.get((t, other), ())
+                if self.tells[other]:
+                    begins = [a for a in begins if any(abs(b - a - step) <= SLACK + abs(step) // 5 for b in near)]
+                if any(self._verify(texts[t], first, a if first == s else a + step) for a in _apart(begins)):
+                    done.add((t, self.item[s]))
+                    yield t, self.item[s]
 
     def _verify(self, text: str, k: int, start: int) -> bool:
         s, nxt = self.sentences[k], self.sentences[k + 1]
-        a = max(0, start - SLACK)
-        dist, end = best_match(s, text[a : start + len(s) + SLACK + len(s) // 4])
-        if dist > TOLERANCE * len(s):
+        a = max(0, start - SLACK - len(s) // 4)
+        dist, end = best_match(s, text[a : max(0, start) + len(s) + SLACK + len(s) // 4])
+        loose = [max(TOLERANCE * len(x), min(self.longest[k + i] + 1, ONE_WORD * len(x))) for i, x in enumerate((s, nxt))]
+        if dist > loose[0]:
             return False
         b = a + end
-        dist, _ = best_match(nxt, text[max(0, b - 5) : b + len(nxt) + SLACK + len(nxt) // 4])
-        return dist <= TOLERANCE * len(nxt)
+        after, _ = best_match(nxt, text[max(0, b - 5) : b + len(nxt) + SLACK + len(nxt) // 4])
+        return after <= loose[1] and (dist <= TOLERANCE * len(s) or after <= TOLERANCE * len(nxt))
+
+
+def _apart(begins: list[int]) -> list[int]:
+    """Places without those that the same look around covers."""
+    out: list[int] = []
+    for a in sorted(set(begins)):
+        if not out or a - out[-1] > SLACK // 2:
+            out.append(a)
+    return out
 
 
 def best_match(pattern: str, text: str) -> tuple[int, int]:
@@ -173,31 +218,62 @@ def best_match(pattern: str, text: str) -> tuple[int, int]:
     return best, end
 
 
-def find_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
+def find_leaks(documents: DataFrame, items: DataFrame, block: int = ITEM_BLOCK) -> DataFrame:
     """(doc_id, item_id): documents that hold at least two consecutive sentences of an item's passage, in order.
 
-    Null and empty texts or passages have no cases, nor have passages of one sentence. Items are read in blocks of at
-    most ``ITEM_BLOCK``; for each block the documents are scanned once, without a shuffle. Only the found pairs are
-    shuffled, to drop repeated ones.
+    Null and empty texts or passages have no cases, nor have passages of one sentence. The corpus is read once, without a
+    shuffle. Items are indexed in blocks of at most about ``block``; where there are several, a filter of all their n-grams, of a
+    fixed size, chooses the documents that share some windows in a row, and only these are looked up block by block. Only
+    the found pairs are shuffled, to drop repeated ones.
     """
     spark = documents.sparkSession
-    it = items.where("passage IS NOT NULL").select("item_id", "passage", "language").distinct()
-    blocks = max(1, -(-it.count() // ITEM_BLOCK))
-    out = spark.createDataFrame([], "doc_id long, item_id long")
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = sentences_of(list(zip(pdf["item_id"], pdf["passage"], pdf["language"])))
+            yield pd.DataFrame(rows, columns=["item_id", "place", "sentence", "longest"]).astype({"item_id": "int64", "place": "int32", "longest": "int32"})
+
+    it = items.where("passage IS NOT NULL").select("item_id", "passage", "language").groupBy("item_id").agg(F.max(F.struct("passage", "language")).alias("p")).select("item_id", "p.*")
+    cuts = checkpointed(it.mapInPandas(cut, "item_id long, place int, sentence string, longest int"))
+    blocks = max(1, -(-it.count() // block))
     docs = documents.select("doc_id", "text").where("text IS NOT NULL")
+
+    def folded(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, list[str]]]:
+        fold = folder()
+        for pdf in batches:
+            for i in range(0, len(pdf), 256):
+                part = pdf.iloc[i : i + 256]
+                yield part["doc_id"].to_numpy(), [fold(t) for t in part["text"]]
+
+    if blocks > 1:
+
+        def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for n, (h, _, _) in grams_of(pdf["sentence"].tolist()).items():
+                    yield pd.DataFrame({"n": n, "key": h.view(np.int64)}).drop_duplicates().astype({"n": "int32"})
+
+        g = checkpointed(cuts.mapInPandas(grams, "n int, key long"))
+        sizes = [r["n"] for r in g.select("n").distinct().collect()]
+        has = spark.sparkContext.broadcast({n: key_filter(g.where(F.col("n") == n)) if n in (5, 10) else None for n in sizes})
+
+        def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for ids, texts in folded(batches):
+                kept = [any(f is None or in_rows(passes(f, window_hashes(codes_of(t), n).view(np.int64)), ROW).any() for n, f in has.value.items()) for t in texts]
+                yield pd.DataFrame({"doc_id": ids[kept], "text": [t for t, x in zip(texts, kept) if x]})
+
+        docs = checkpointed(docs.mapInPandas(choose, "doc_id long, text string"))
+
+    out = spark.createDataFrame([], "doc_id long, item_id long")
     for b in range(blocks):
-        rows = it.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()
-        index = spark.sparkContext.broadcast(Index([(r["item_id"], r["passage"], r["language"]) for r in rows]))
+        rows = cuts.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id", "place").collect()
+        index = spark.sparkContext.broadcast(Index([tuple(r) for r in rows]))
 
         def scan(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
-            fold, table = folder(), index.value
-            for pdf in batches:
-                for i in range(0, len(pdf), 256):
-                    part = pdf.iloc[i : i + 256]
-                    ids = part["doc_id"].to_numpy()
-                    found = list(table.search([fold(t) for t in part["text"]]))
-                    if found:
-                        yield pd.DataFrame({"doc_id": [ids[t] for t, _ in found], "item_id": [x for _, x in found]})
+            parts = folded(batches) if blocks == 1 else ((p["doc_id"].to_numpy(), p["text"].tolist()) for p in batches)
+            for ids, texts in parts:
+                found = list(index.value.search(texts)) if texts else []
+                if found:
+                    yield pd.DataFrame({"doc_id": [ids[t] for t, _ in found], "item_id": [x for _, x in found]})
 
         out = out.unionByName(docs.mapInPandas(scan, "doc_id long, item_id long"))
     return out.distinct()

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foliospark.llm import components, duplicates, garble, leaks, neighbours, packing, scans, sentences, unify
+from foliospark.llm import components, duplicates, filters, garble, leaks, neighbours, packing, scans, sentences, unify
 
 rng = random.Random(4)
 WORDS = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(400)]
@@ -280,8 +280,8 @@ def test_a_garbled_word_of_very_many_texts(spark):
 
 def test_filters_keep_nothing_out(spark):
     keys = [random.Random(3).randint(-(2**63), 2**63 - 1) for _ in range(3000)]
-    has = garble.key_filter(spark.createDataFrame([(k,) for k in keys], "key long"), 1 << 16)
-    assert garble.passes(has, np.array(keys, dtype=np.int64)).all() and garble.passes(has, np.arange(10000, dtype=np.int64)).mean() < 0.2
+    has = filters.key_filter(spark.createDataFrame([(k,) for k in keys], "key long"), 1 << 16)
+    assert filters.passes(has, np.array(keys, dtype=np.int64)).all() and filters.passes(has, np.arange(10000, dtype=np.int64)).mean() < 0.2
 
 
 # ---------------------------------------------------------------- problem 5
@@ -408,6 +408,34 @@ def test_leaks(spark):
     assert leaks.find_leaks(df, items.limit(0)).count() == 0 and leaks.find_leaks(df.limit(0), items).count() == 0
 
 
+def test_leaks_of_several_blocks_are_those_of_one(spark):
+    """Every document is read once; a filter of all n-grams chooses those that the blocks look at."""
+    r = random.Random(12)
+    sentence = lambda: " ".join(r.choice(WORDS) for _ in range(r.randint(6, 14))).capitalize() + "."
+    passages = [[sentence() for _ in range(4)] for _ in range(60)]
+    items = spark.createDataFrame([(i, " ".join(p), "en") for i, p in enumerate(passages)], "item_id long, passage string, language string")
+    docs, want = [], set()
+    for d in range(150):
+        body = [sentence() for _ in range(5)]
+        if d % 3 == 0:
+            i, k = r.randrange(60), r.randrange(3)
+            two = [" ".join(w if j != 2 else "qqqqqq" for j, w in enumerate(x.split())) if r.random() < 0.5 else x for x in passages[i][k : k + 2]]
+            body[2:2] = two
+            want.add((d, i))
+        elif d % 3 == 1:
+            body[2:2] = [passages[d % 60][1]]
+        docs.append((d, " ".join(body)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {tuple(x) for x in leaks.find_leaks(df, items).collect()} == want == {tuple(x) for x in leaks.find_leaks(df, items, block=13).collect()}
+
+
+def test_a_long_word_may_differ_in_one_of_two_short_sentences(spark):
+    s = ["Garzer 규정은 특수 표지를 상온에서 병합합니다.", "모든 공용 보고서는 내부 예산을 북쪽 출입구에서 교체합니다."]
+    items = spark.createDataFrame([(1, " ".join(s), "ko")], "item_id long, passage string, language string")
+    docs = [(1, f"앞 글입니다. {s[0].replace('Garzer', 'Qualunorsil')} {s[1]} 끝."), (2, f"{s[0].replace('Garzer', 'Qualun')} 다른 문장이 사이에 있습니다. 그리고 하나 더 있습니다."), (3, "짧은 글")]
+    assert [tuple(r) for r in leaks.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()] == [(1, 1)]
+
+
 def test_best_match_against_a_plain_table():
     r = random.Random(11)
     for _ in range(100):

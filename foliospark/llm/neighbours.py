@@ -18,11 +18,13 @@ from pyspark.sql import Window as W
 
 from foliospark.functions.vectors import is_usable
 
-# Fitting: vectors a cell, vectors at most in the sample, cells at most.
-CELL, SAMPLE, MAX_CELLS = 128, 65536, 8192
-# Vectors of a group of neighbouring cells that are searched together, members of a group above which it is cut into
-# blocks, and cells each query looks into.
-GROUP, BLOCK, PROBES = 4096, 32768, 8
+# Fitting: vectors a cell, vectors at most in the sample, cells at most (8 MB of centroids, which are broadcast), and cells
+# above which centroids are fitted and looked up by way of heads. The sample gives dense regions as many cells as they
+# need; beyond 4 million vectors cells hold more than ``CELL``, at 45 million some 1,400.
+CELL, SAMPLE, MAX_CELLS, PLAIN = 128, 262144, 32768, 1024
+# Cells of a group that is searched together, members of a group above which it is cut into blocks, cells each query
+# looks into, and heads whose cells are looked through for them.
+GROUP, BLOCK, PROBES, HEADS = 32, 131072, 8, 24
 # Error bound of the estimates in standard deviations, and bits a value of the query.
 EPSILON, QUERY_BITS = 1.9, 4
 
@@ -58,22 +60,53 @@ class Cells:
 
     def __init__(self, sample: np.ndarray, count: int, dim: int):
         k = int(min(max(1, count // CELL), MAX_CELLS, max(1, len(sample) // 8)))
-        self.centroids = _kmeans(sample, k, 4, 1) if len(sample) else np.zeros((1, dim), np.float32)
+        self.centroids = self._fit(sample, k) if len(sample) else np.zeros((1, dim), np.float32)
+        g = max(1, -(-len(self.centroids) // GROUP))
+        self.heads = _kmeans(self.centroids, g, 6, 2) if g > 1 else self.centroids[:1]
+        self.group = _nearest(self.centroids, self.heads, 1)[:, 0] if g > 1 else np.zeros(len(self.centroids), dtype=np.int32)
         # Empty and equal centroids would take places among the cells that a query looks into.
-        home = _nearest(sample, self.centroids, 1)[:, 0] if len(sample) else np.zeros(0, np.int32)
-        self.centroids = np.unique(self.centroids[np.unique(home)], axis=0) if len(sample) else self.centroids
-        k = len(self.centroids)
-        g = max(1, -(-k * CELL // GROUP))
-        if g > 1:
-            heads = _kmeans(self.centroids, g, 6, 2)
-            self.group = _nearest(self.centroids, heads, 1)[:, 0]
-        else:
-            self.group = np.zeros(len(self.centroids), dtype=np.int32)
+        if len(sample):
+            used = np.unique(self.nearest(sample, 1)[:, 0])
+            self.centroids, first = np.unique(self.centroids[used], axis=0, return_index=True)
+            self.group = self.group[used][first]
         # Blocks of each group by its members, as counted in the sample.
-        members = np.bincount(self.group[_nearest(sample, self.centroids, 1)[:, 0]], minlength=self.group.max() + 1) if len(sample) else np.zeros(1)
+        members = np.bincount(self.group[self.nearest(sample, 1)[:, 0]], minlength=len(self.heads)) if len(sample) else np.zeros(1)
         self.blocks = np.maximum(1, np.ceil(members * (count / max(1, len(sample))) / BLOCK)).astype(np.int64)
         self.rotation = np.linalg.qr(np.random.default_rng(3).standard_normal((dim, dim)))[0].astype(np.float32)
 
+    @staticmethod
+    def _fit(sample: np.ndarray, k: int) -> np.ndarray:
+        """k centroids; many of them in two steps, each head's share of them by its share of the sample."""
+        if k <= PLAIN:
+            return _kmeans(sample, k, 4, 1)
+        heads = _kmeans(sample, max(2, k // 128), 4, 1)
+        home = _nearest(sample, heads, 1)[:, 0]
+        order = np.argsort(home, kind="stable")
+        parts = [p for p in np.split(sample[order], np.cumsum(np.bincount(home, minlength=len(heads)))[:-1]) if len(p)]
+        return np.concatenate([_kmeans(p, min(len(p), max(1, round(k * len(p) / len(sample)))), 4, 4) for p in parts])
+
+    def nearest(self, x: np.ndarray, k: int) -> np.ndarray:
+        """The k cells with the largest inner product, best first; where there are many, among those of the nearest heads."""
+        k = min(k, len(self.centroids))
+        if len(self.centroids) <= PLAIN or len(self.heads) <= HEADS:
+            return _nearest(x, self.centroids, k)
+        out = np.empty((len(x), k), dtype=np.int32)
+        cells = [np.flatnonzero(self.group == g) for g in range(len(self.heads))]
+        for i in range(0, len(x), 8192):
+            part = x[i : i + 8192]
+            near = _nearest(part, self.heads, HEADS)
+            best, at = np.full((len(part), k), -9, dtype=np.float32), np.zeros((len(part), k), dtype=np.int32)
+            for g in np.unique(near).tolist():
+                rows = np.flatnonzero((near == g).any(axis=1))
+                if not len(cells[g]):
+                    continue
+                s = np.concatenate([best[rows], part[rows] @ self.centroids[cells[g]].T], axis=1)
+                ids = np.concatenate([at[rows], np.broadcast_to(cells[g].astype(np.int32), (len(rows), len(cells[g])))], axis=1)
+                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                best[rows], at[rows] = np.take_along_axis(s, top, 1), np.take_along_axis(ids, top, 1)
+            out[i : i + 8192] = at
+        return out
+
 
 def _pack(bits: np.ndarray) -> np.ndarray:
     """Bits of the last axis as 64-bit words."""
@@ -122,14 +155,16 @@ class Codes:
         return both, slack
 
 
-def search_group(h: np.ndarray, x: np.ndarray, home: np.ndarray, member: np.ndarray, probes: list[np.ndarray], cells: Cells, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def search_group(h: np.ndarray, x: np.ndarray, member: np.ndarray, probes: np.ndarray, cells: Cells, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query number, member hash, inner product): the k best members of one group for each row.
 
-    ``member`` tells which rows are members here; every row is a query that looks into the cells of ``probes``.
+    ``member`` tells which rows are members here, of the first cell of their ``probes``; every row is a query that looks
+    into the cells of its probes, -1 being none.
     """
+    home = probes[:, 0]
     rows_of = {int(c): np.flatnonzero(member & (home == c)) for c in np.unique(home[member])}
-    flat = np.concatenate(probes) if probes else np.empty(0, np.int32)
-    owner = np.repeat(np.arange(len(probes)), [len(p) for p in probes])
+    owner, column = np.nonzero(probes >= 0)
+    flat = probes[owner, column]
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
     best, best_h = np.full((len(x), k), -9, dtype=np.float32), np.zeros((len(x), k), dtype=np.int64)
@@ -188,7 +223,8 @@ def nearest_neighbours(rows: DataFrame, k: int = 5, dim: int = 64) -> DataFrame:
     lengths, values that are not finite and all-zero vectors take no part. Equal vectors are searched once and expanded
     at the end, at most k + 1 of them for each; ties go to the smaller hash, then id. An empty table gives no rows.
 
-    Each vector is sent once to every group of cells it looks into, about three times in all. Groups of more than ``BLOCK`` members, as
+    Each vector is sent once to every group of cells it looks into, about three times in all. The number of cells grows
+    with the table and with the density of its regions, up to ``MAX_CELLS``. Groups of more than ``BLOCK`` members, as
     counted in the sample, are cut into blocks of members, each searched by all queries of the group.
     """
     spark = rows.sparkSession
@@ -213,7 +249,7 @@ def nearest_neighbours(rows: DataFrame, k: int = 5, dim: int = 64) -> DataFrame:
                 continue
             v = np.stack(pdf["embedding"].to_numpy()).astype(np.float32)
             v /= np.linalg.norm(v, axis=1, keepdims=True)
-            near = _nearest(v, c.centroids, probes)
+            near = c.nearest(v, probes)
             groups = c.group[near]
             raw = [r.tobytes() for r in v]
             hs = pdf["h"].to_numpy()
@@ -233,17 +269,17 @@ def nearest_neighbours(rows: DataFrame, k: int = 5, dim: int = 64) -> DataFrame:
             b = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             g, i = np.repeat(g, count), np.repeat(i, count)
             member = (g == groups[i, 0]) & (hs[i] % c.blocks[g] == b)
-            yield pd.DataFrame({"g": g, "b": b, "member": member, "h": hs[i], "v": [raw[t] for t in i]})
+            here = np.where(groups[i] == g[:, None], near[i], -1).astype(np.int32)
+            yield pd.DataFrame({"g": g, "b": b, "member": member, "h": hs[i], "cells": [r.tobytes() for r in here], "v": [raw[t] for t in i]})
+
+    sent_rows = vectors.mapInPandas(visits, "g int, b long, member boolean, h long, cells binary, v binary")
 
-    sent_rows = vectors.mapInPandas(visits, "g int, b long, member boolean, h long, v binary")
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         c = sent.value
         v = np.frombuffer(b"".join(pdf["v"]), dtype=np.float32).reshape(len(pdf), dim)
-        near = _nearest(v, c.centroids, min(PROBES, len(c.centroids)))
-        here = c.group[near] == int(pdf["g"].iloc[0])
-        probes = [near[i][here[i]] for i in range(len(v))]
+        probes = np.frombuffer(b"".join(pdf["cells"]), dtype=np.int32).reshape(len(pdf), -1)
         h = pdf["h"].to_numpy()
-        at, of, sims = search_group(h, v, near[:, 0], pdf["member"].to_numpy(), probes, c, k)
+        at, of, sims = search_group(h, v, pdf["member"].to_numpy(), probes, c, k)
         return pd.DataFrame({"h": h[at], "nh": of, "similarity": sims.astype(np.float64)})
 
     found = sent_rows.groupBy("g", "b").applyInPandas(search, "h long, nh long, similarity double")

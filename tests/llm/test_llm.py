@@ -218,6 +218,35 @@ def test_a_hot_vector_takes_no_cells_from_others(spark, monkeypatch):
     assert len(want & got) >= 0.98 * len(want)
 
 
+@pytest.mark.parametrize("dense", [False, True])
+def test_cells_grow_with_the_table(monkeypatch, dense):
+    """With the limits set low: many cells by way of heads, few members of a cell also where all is dense; recall stays."""
+    for name, value in {"CELL": 8, "PLAIN": 64, "GROUP": 8, "MAX_CELLS": 4096, "HEADS": 12}.items():
+        monkeypatch.setattr(neighbours, name, value)
+    g = np.random.default_rng(5)
+    x = np.repeat(g.standard_normal((1 if dense else 800, 64)), 8000 if dense else 10, axis=0) + (0.01 if dense else 0.2) * g.standard_normal((8000, 64))
+    if dense:  # a dense cloud of small clouds
+        x = np.repeat(x[:800], 10, axis=0) + 0.002 * g.standard_normal((8000, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    c = neighbours.Cells(x, len(x), 64)
+    near = c.nearest(x, 8)
+    assert len(c.centroids) > 400 and np.bincount(near[:, 0]).max() < 120
+    home = {}
+    for i, cell in enumerate(near[:, 0].tolist()):
+        home.setdefault(cell, []).append(i)
+    hit = 0
+    for i in range(0, 8000, 80):
+        true = set(np.argsort(-(x @ x[i]))[:6].tolist()) - {i}
+        hit += len(true & {j for cell in near[i].tolist() for j in home.get(cell, [])}) / len(true)
+    assert hit >= 95
+
+
+def test_neighbours_by_way_of_heads_and_blocks(spark, monkeypatch):
+    for name, value in {"CELL": 8, "PLAIN": 16, "GROUP": 4, "HEADS": 8, "BLOCK": 40}.items():
+        monkeypatch.setattr(neighbours, name, value)
+    test_neighbours_against_brute_force(spark)
+
+
 def test_error_bounds_hold():
     g = np.random.default_rng(1)
     x = g.standard_normal((300, 64)).astype(np.float32)

@@ -103,7 +103,7 @@ def p1_found(s: SparkSession, d: str) -> DataFrame:
 
 # ---------------------------------------------------------------- scanned pages
 def _pages(s: SparkSession, d: str) -> DataFrame:
-    return spread(table(s, d, "ocr_pages", "document_id", "page_number", "text", "processing_time_ms"))
+    return spread(table(s, d, "ocr_pages", "document_id", "page_number", "text", "confidence", "processing_time_ms"))
 
 
 @query

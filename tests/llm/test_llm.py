@@ -169,6 +169,51 @@ def test_trie_finds_every_confusable_word():
     assert set(t.near("rnodern", 1)) == {"modern"} and set(t.near("offer", 2)) == {"after"} and set(t.near("modern", 1)) == {"modem"}
 
 
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, c in enumerate(a):
+        new = [i + 1]
+        for j, d in enumerate(b):
+            new.append(min(row[j] + (c != d), row[j + 1] + 1, new[-1] + 1))
+        row = new
+    return row[-1]
+
+
+def test_the_automaton_finds_every_word_within_one_edit():
+    r = random.Random(13)
+    words = {"".join(r.choice("kxqj") for _ in range(r.randint(3, 6))): i for i in range(1, 400)}  # letters without confusions
+    t = scans.Trie(words)
+    for _ in range(60):
+        w = "".join(r.choice("kxqj") for _ in range(r.randint(3, 6)))
+        assert set(t.near(w, 0, 1)) == {x for x in words if x != w and plain_distance(w, x) <= 1}
+
+
+def test_words_that_are_too_rare_for_the_trie_are_reached_by_the_join(spark, monkeypatch):
+    monkeypatch.setattr(scans, "LEAST_SHARE", 0.05)
+    rows = {(x.document_id, x.page_number, x.line_no, x.kind) for x in scans.find_noise(scan_table(spark)).collect()}
+    pages = scan_table(spark)
+    c = scans.count_words(pages).where("kind = 'w'")
+    assert c.where("word = 'agrees'").first()["n"] < 0.05 * c.agg(F.sum("n")).first()[0]
+    more = pages.unionByName(spark.createDataFrame([("m", i, "agrees " * 9, 0.9, 1.0) for i in range(2)] + [("m", 9, "all agrces here", 0.9, 1.0)], pages.schema))
+    got = {tuple(x) for x in scans.find_noise(more).collect()}
+    assert rows <= got and ("m", 9, 0, "misread") in got
+    assert "all agrees here" in [x["text"] for x in scans.repair(more).where("document_id = 'm' AND page_number = 9").collect()]
+
+
+def test_pages_without_confidence_do_not_vouch_for_words_and_a_document_not_for_its_errors(spark):
+    rows = [("a", 1, "zzyx " * 50, 0.2, 1.0), ("b", 1, "rnodern " * 40, 0.9, 1.0), ("c", 1, "plain", None, 1.0)]
+    got = {r["word"]: (r["n"], r["own"]) for r in scans.count_words(spark.createDataFrame(rows, "document_id string, page_number int, text string, confidence double, processing_time_ms double")).collect()}
+    assert got == {"zzyx": (0, 4), "rnodern": (40, 4), "plain": (1, 1)}
+
+
+def test_joined_words_are_repaired_and_candidates_ranked_by_context():
+    voc = scans.Vocabulary({"committee": 900, "modern": 500, "modem": 800, "whole": 300}, {}, 6)
+    assert voc.repaired("rnodern", {"modern", "modern whole"}, after="whole") == "modern"
+    text = scans.repair_page("the whole com-\nrnittee agrees", [], None, [], None, voc)
+    assert text == "the whole committee agrees"
+    assert scans.repair_line("the whoIe comm-", set(), voc, {}) == "the whole comm-"
+
+
 # ---------------------------------------------------------------- problem 3
 def test_neighbours_against_brute_force(spark):
     g = np.random.default_rng(0)

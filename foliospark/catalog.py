@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from foliospark.functions import ids, sentences, text, vectors
 from foliospark.models import embed_column, hashing_embedder
 from foliospark.operators import answers, changes, chunking, metadata, pages, search, versions
-from foliospark.plans.answering import answer_questions
+from foliospark.plans.answering import answer_questions, source_hits
 from foliospark.session import latest, shuffle_partitions, spread, table
 from foliospark.sources import files
 
@@ -72,6 +72,16 @@ def scanned(s, d, *cols):
     return _first("ocr_pages", ["document_id", "page_number"], [_desc("processing_time_ms"), F.md5("text").asc_nulls_last()], s, d, cols)
 
 
+_S = text.SPACE
+
+
+def _sql_strip(x: str) -> str:
+    return f"regexp_replace({x}, '^[{_S}]+|[{_S}]+$', '', 'g')"
+
+
+_INJECTED = "(" + " OR ".join("regexp_matches(question, '" + p.replace("'", "''") + "')" for p in text.INJECTION_PATTERNS) + ")"
+
+
 def query(sql: str | None = None, uses: str = "") -> Callable[[Query], Query]:
     """Register a query; ``uses`` names the views its SQL needs."""
 
@@ -79,7 +89,9 @@ def query(sql: str | None = None, uses: str = "") -> Callable[[Query], Query]:
         QUERIES[f.__name__] = f
         if sql is not None:
             views = ", ".join(f"{v} AS ({_VIEWS[v]})" for v in uses.split())
-            SQL[f.__name__] = (f"WITH {views}" + (", " + sql[5:] if sql.startswith("WITH ") else " " + sql)) if views else sql
+            recursive = "RECURSIVE " if sql.startswith("WITH RECURSIVE ") else ""
+            own = sql.removeprefix("WITH ").removeprefix("RECURSIVE ")
+            SQL[f.__name__] = sql if not views else f"WITH {recursive}{views}" + (", " + own if sql.startswith("WITH ") else " " + own)
         return f
 
     return add
@@ -88,10 +100,11 @@ def query(sql: str | None = None, uses: str = "") -> Callable[[Query], Query]:
 # ---------------------------------------------------------------- retrieval
 # Stated query set: the vectors of `embeddings` whose vec_id is divisible by 100, against all chunks.
 _USABLE = "len(embedding) = 64 AND list_count(embedding) = 64 AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
-_HITS = f"""q AS (SELECT vec_id AS query_id, embedding AS qe FROM embeddings WHERE vec_id % 100 = 0),
-u AS MATERIALIZED (SELECT * FROM chunks WHERE {_USABLE}),
+_SCORED = """u AS MATERIALIZED (SELECT * FROM chunks WHERE {filter}),
 scored AS (SELECT q.query_id, u.chunk_id, u.document_id, u.version_id, round(least(1.0, greatest(-1.0, list_dot_product(qe::DOUBLE[], u.embedding::DOUBLE[])
   / (sqrt(list_dot_product(qe::DOUBLE[], qe::DOUBLE[])) * sqrt(list_dot_product(u.embedding::DOUBLE[], u.embedding::DOUBLE[]))))), 6) AS score FROM q, u)"""
+_STATED = "q AS (SELECT vec_id AS query_id, embedding AS qe FROM embeddings WHERE vec_id % 100 = 0)"
+_HITS = f"{_STATED}, {_SCORED.format(filter=_USABLE)}"
 
 
 def _queries(s, d):
@@ -108,16 +121,21 @@ def vector_topk_threshold(s, d):
     return search.exact_topk(_queries(s, d), chunks(s, d, F.col("chunk_id").alias("id"), "embedding"), 60, DIM, 0.1).select("query_id", F.col("id").alias("chunk_id"), "score")
 
 
-@query(f"WITH {_HITS.replace('WHERE len', chr(87) + 'HERE file_type = ' + chr(39) + '.pdf' + chr(39) + ' AND language = ' + chr(39) + 'en' + chr(39) + ' AND len')} SELECT query_id, chunk_id, score FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 10", "chunks")
+_PAYLOAD = {"file_type": ".pdf", "language": "en"}
+
+
+@query(f"""WITH {_STATED}, {_SCORED.format(filter=_USABLE + " AND file_type = '.pdf' AND language = 'en'")}
+SELECT query_id, chunk_id, score FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 10""", "chunks")
 def payload_filter_search(s, d):
-    c = chunks(s, d).where("file_type = '.pdf' AND language = 'en'").select(F.col("chunk_id").alias("id"), "embedding")
+    c = chunks(s, d).where(metadata.payload_filter(_PAYLOAD)).select(F.col("chunk_id").alias("id"), "embedding")
     return search.exact_topk(_queries(s, d), c, 10, DIM).select("query_id", F.col("id").alias("chunk_id"), "score")
 
 
-_RETRIEVED = f"""{_HITS}, top60 AS (SELECT * FROM scored WHERE score >= 0.1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 60),
+_RETRIEVE = """top60 AS (SELECT * FROM scored WHERE score >= 0.1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 60),
 live AS (SELECT t.* FROM top60 t WHERE EXISTS (SELECT 1 FROM docs a WHERE a.document_id = t.document_id AND a.active_version_id = t.version_id)),
 quota AS (SELECT * FROM live QUALIFY row_number() OVER (PARTITION BY query_id, document_id ORDER BY score DESC, chunk_id) <= 3),
 hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM quota QUALIFY rank <= 30)"""
+_RETRIEVED = f"{_HITS}, {_RETRIEVE}"
 
 
 def _retrieved(s, d):
@@ -143,7 +161,7 @@ def rerank_topk(s, d):
 
 _COUNT = "CAST(floor(length(regexp_replace({0}, '[^가-힣]', '', 'g')) / 1.3::DOUBLE + (length({0}) - length(regexp_replace({0}, '[^가-힣]', '', 'g'))) / 4.0::DOUBLE) AS INT)"
 _BLOCK = """'[SOURCE S' || rank || ']' || chr(10) || 'file: ' || coalesce(source_path, '') || chr(10) || 'location: ' || coalesce(nullif(concat_ws(', ', 'page ' || page_number, 'sheet ' || sheet_name, 'slide ' || slide_number), ''), 'N/A')
- || chr(10) || 'section: ' || coalesce(section_title, 'N/A') || chr(10) || coalesce(content, '') || chr(10) || '[/SOURCE S' || rank || ']'"""
+ || chr(10) || 'section: ' || coalesce(section_title, 'N/A') || chr(10) || 'content:' || chr(10) || coalesce(content, '') || chr(10) || '[/SOURCE S' || rank || ']'"""
 _BLOCKS = f"{_RETRIEVED}, src AS (SELECT h.query_id, h.rank, {_BLOCK} AS block FROM hits h JOIN chunks c ON c.chunk_id = h.chunk_id), used AS (SELECT *, CAST(sum({_COUNT.format('block')}) OVER (PARTITION BY query_id ORDER BY rank) AS BIGINT) AS used_tokens FROM src)"
 
 
@@ -162,13 +180,67 @@ def source_blocks(s, d):
     return answers.build_context(_blocks_of_hits(s, d), "block")
 
 
-@query()
+# The built-in embedder: character trigrams of the folded text, each adding 1 or -1 to one of 64 sums by its MD5.
+_EMBEDDED = f"""items AS (SELECT item_id AS query_id, question FROM eval_items QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY md5(question) NULLS LAST) = 1),
+folded AS (SELECT *, coalesce(nullif(lower({_sql_strip('question')}), ''), '(empty)') AS t FROM items),
+grams AS (SELECT query_id, ('0x' || substr(md5(substr(t, i::INT, 3)), 1, 8))::BIGINT AS h FROM (SELECT *, unnest(generate_series(1, greatest(1, length(t) - 2))) AS i FROM folded)),
+sums AS (SELECT query_id, h % 64 AS k, sum(CASE WHEN (h & 1024) <> 0 THEN 1 ELSE -1 END) AS x FROM grams GROUP BY ALL),
+norms AS (SELECT query_id, CAST(sqrt(sum(x * x)) AS FLOAT) AS n FROM sums GROUP BY 1),
+cells AS (SELECT f.query_id, k.k, coalesce(x, 0) AS x FROM folded f CROSS JOIN (SELECT unnest(generate_series(0, 63)) AS k) k LEFT JOIN sums s ON s.query_id = f.query_id AND s.k = k.k),
+vectors AS (SELECT query_id, list(CASE WHEN n > 0 THEN CAST(x AS FLOAT) / n ELSE CAST(0 AS FLOAT) END ORDER BY k) AS qe FROM cells JOIN norms USING (query_id) GROUP BY query_id),
+asked AS (SELECT i.*, v.qe, CASE WHEN question IS NULL OR {_sql_strip('question')} = '' THEN 'empty' WHEN {_INJECTED} THEN 'rejected_security' WHEN len(list_filter(qe, lambda x: x <> 0)) = 0 THEN 'failed_retrieval' ELSE 'ok' END AS status FROM items i JOIN vectors v USING (query_id)),
+q AS (SELECT query_id, qe FROM asked WHERE status = 'ok')"""
+_BEST = "best AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS rank FROM hits QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) <= 5)"
+_ANSWERED = f"""{_EMBEDDED}, {_SCORED.format(filter=_USABLE)}, {_RETRIEVE}, {_BEST},
+src AS (SELECT b.query_id, b.rank, {_BLOCK} AS block, c.source_path, c.file_name, c.page_number, c.sheet_name, c.slide_number, c.section_title FROM best b JOIN chunks c ON c.chunk_id = b.chunk_id),
+used AS (SELECT *, CAST(sum({_COUNT.format('block')}) OVER (PARTITION BY query_id ORDER BY rank) AS BIGINT) AS used_tokens FROM src),
+ctx AS (SELECT query_id, count(*) AS n_hits, count(*) FILTER (used_tokens <= 3072) AS n_sources, string_agg(block, chr(10) || chr(10) ORDER BY rank) FILTER (used_tokens <= 3072) AS context FROM used GROUP BY 1),
+made AS (SELECT query_id, question, status, n_hits, coalesce(n_sources, 0) AS n_sources, context, greatest(1, len(list_distinct(regexp_extract_all(context, '\\[S(\\d+)\\]', 1)))) AS n FROM asked LEFT JOIN ctx USING (query_id)),
+answered AS (SELECT query_id, n_sources::INT AS n_sources, CASE WHEN status <> 'ok' THEN status WHEN n_hits IS NULL THEN 'no_context' WHEN context IS NULL THEN 'insufficient_context' ELSE 'success' END AS status,
+ '검색된 문서 근거에 기반한 답변입니다: ' || question || ' ' || array_to_string(list_transform(generate_series(1, n), lambda i: '[S' || i || ']'), ' ') AS answer FROM made),
+parts AS (SELECT *, list_transform(regexp_extract_all(answer, '\\[S(\\d+)\\]', 1), lambda x: 'S' || x) AS marks FROM answered),
+cited AS (SELECT query_id, status, n_sources, answer, list_sort(list_distinct(list_filter(marks, lambda x: list_contains(list_transform(generate_series(1, n_sources), lambda i: 'S' || i), x)))) AS valid,
+ list_distinct(list_filter(marks, lambda x: NOT list_contains(list_transform(generate_series(1, n_sources), lambda i: 'S' || i), x))) AS invalid FROM parts)"""
+_REFUSED = "CASE status " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in answers.REFUSALS.items()) + " END"
+
+
+def _asked(s, d):
+    items = latest(table(s, d, "eval_items", "item_id", "question"), ["item_id"], [F.md5("question").asc_nulls_last()])
+    return items.select(F.col("item_id").alias("query_id"), "question", embed_column(F.col("question"), lambda: hashing_embedder(DIM)).alias("embedding"))
+
+
+def _sources(s, d):
+    return chunks(s, d, "chunk_id", "document_id", "version_id", "content", "page_number", "sheet_name", "slide_number", "section_title", "source_path", "file_name", "embedding")
+
+
+@query(f"WITH {_ANSWERED} SELECT query_id, status, n_sources, coalesce({_REFUSED}, list_reduce(list_prepend(answer, invalid), lambda a, x: replace(a, '[' || x || ']', ''))) AS answer, CASE WHEN status = 'success' THEN array_to_string(valid, ',') ELSE '' END AS citations FROM cited", "chunks docs")
 def answer_pipeline(s, d):
     """Every question of eval_items, as a vector of the library's own embedder."""
-    items = latest(table(s, d, "eval_items", "item_id", "question"), ["item_id"], [F.md5("question").asc_nulls_last()])
-    q = items.select(F.col("item_id").alias("query_id"), "question", embed_column(F.col("question"), lambda: hashing_embedder(DIM)).alias("embedding"))
-    c = chunks(s, d, "chunk_id", "document_id", "version_id", "content", "page_number", "sheet_name", "slide_number", "section_title", "source_path", "embedding")
-    return answer_questions(q, c, docs(s, d, "document_id", "active_version_id"), DIM, 0.1)
+    a = answer_questions(_asked(s, d), _sources(s, d), docs(s, d, "document_id", "active_version_id"), DIM, 0.1)
+    return a.withColumn("citations", F.array_join(F.array_sort("citations"), ","))
+
+
+_LINE = """'[S' || rank || '] ' || coalesce(nullif(file_name, ''), list_last(string_split(source_path, '/')), '') || ' (' ||
+ coalesce(nullif(concat_ws(', ', page_number || '페이지', CASE WHEN sheet_name <> '' THEN sheet_name || ' 시트' END, slide_number || ' 슬라이드'), ''), '위치 정보 없음') || ')' ||
+ CASE WHEN coalesce(section_title, '') IN ('', '본문') THEN '' ELSE ', "' || section_title || '"' END"""
+
+
+@query(f"WITH {_ANSWERED} SELECT src.query_id, 'S' || rank AS mark, {_LINE} AS line FROM src JOIN cited USING (query_id) WHERE list_contains(valid, 'S' || rank)", "chunks docs")
+def citation_lines(s, d):
+    """What each answer of ``answer_pipeline`` cites, as lines for a reader."""
+    q, c, live = _asked(s, d), _sources(s, d), docs(s, d, "document_id", "active_version_id")
+    hits = source_hits(q.withColumn("status", answers.question_status(F.col("question"))), c, live, DIM, 0.1)
+    cited = answer_questions(q, c, live, DIM, 0.1).select("query_id", F.col("citations").alias("valid"))
+    return answers.cited_sources(cited, hits).select("query_id", "mark", "line")
+
+
+@query(f"WITH {_ANSWERED} SELECT query_id, md5('참고 문서 (Context):' || chr(10) || context || chr(10) || chr(10) || '질문 (Question): ' || question) AS prompt_md5 FROM made WHERE context IS NOT NULL", "chunks docs")
+def prompt_assembly(s, d):
+    q = _asked(s, d).withColumn("status", answers.question_status(F.col("question")))
+    hits = source_hits(q, _sources(s, d), docs(s, d, "document_id", "active_version_id"), DIM, 0.1)
+    block = answers.source_block(F.col("rank"), F.col("source_path"), F.col("page_number"), F.col("sheet_name"), F.col("slide_number"), F.col("section_title"), F.col("content"))
+    context = answers.build_context(answers.within_budget(hits.withColumn("block", block), "block", 3072), "block")
+    return context.join(q, "query_id").select("query_id", F.md5(answers.prompt(F.col("question"), F.col("context"))).alias("prompt_md5"))
 
 
 # ---------------------------------------------------------------- vectors
@@ -231,17 +303,17 @@ def active_version_join(s, d):
 
 @query("SELECT document_id, active_version_id FROM docs WHERE active_version_id IS NOT NULL", "docs")
 def active_mapping(s, d):
-    return metadata.active_mapping(docs(s, d))
+    return metadata.active_mapping(docs(s, d, "document_id", "active_version_id"))
 
 
 @query("SELECT status, count(*) AS n FROM docs GROUP BY 1", "docs")
 def document_status_counts(s, d):
-    return metadata.by_status(docs(s, d))
+    return metadata.by_status(docs(s, d, "status"))
 
 
 @query("SELECT status, count(*) AS n FROM vers GROUP BY 1", "vers")
 def version_status_counts(s, d):
-    return metadata.by_status(vers(s, d))
+    return metadata.by_status(vers(s, d, "status"))
 
 
 @query("SELECT coalesce(sum(chunk_count), 0)::BIGINT AS total_chunks FROM vers", "vers")
@@ -327,13 +399,6 @@ def stale_chunk_versions(s, d):
 
 
 # ---------------------------------------------------------------- text
-_S = text.SPACE
-
-
-def _sql_strip(x: str) -> str:
-    return f"regexp_replace({x}, '^[{_S}]+|[{_S}]+$', '', 'g')"
-
-
 def _norm(x: str) -> str:
     x = f"nfc_normalize(regexp_replace({x}, '\\r\\n?', chr(10), 'g'))"
     for pattern, new in ((f"'{text.CONTROL}'", "''"), ("'[ \\t]+'", "' '"), ("'(?m)^[ \\t]+|[ \\t]+$'", "''"), ("'\\n{3,}'", "chr(10) || chr(10)")):
@@ -421,7 +486,7 @@ def hit_location(s, d):
 
 @query("SELECT document_id, sequence, coalesce(nullif(concat_ws(', ', 'page ' || page_number, 'sheet ' || sheet_name, 'slide ' || slide_number, CASE WHEN len(section_path) > 0 THEN array_to_string(section_path, ' > ') END), ''), 'unknown') AS location FROM blocks", "blocks")
 def block_location(s, d):
-    b = blocks(s, d)
+    b = blocks(s, d, "document_id", "sequence", "page_number", "sheet_name", "slide_number", "section_path")
     return b.select("document_id", "sequence", text.block_location(F.col("page_number"), F.col("sheet_name"), F.col("slide_number"), F.col("section_path")).alias("location"))
 
 
@@ -440,6 +505,49 @@ def citation_clean(s, d):
     return answers.verify_citations(a).select("chunk_id", "cleaned", F.size("invalid").alias("n_invalid"))
 
 
+@query("SELECT chunk_id, coalesce(nullif(concat_ws(', ', page_number || '페이지', CASE WHEN sheet_name <> '' THEN sheet_name || ' 시트' END, slide_number || ' 슬라이드'), ''), '위치 정보 없음') AS location FROM chunks", "chunks")
+def citation_location(s, d):
+    c = chunks(s, d, "chunk_id", "page_number", "sheet_name", "slide_number")
+    return c.select("chunk_id", text.citation_location(F.col("page_number"), F.col("sheet_name"), F.col("slide_number")).alias("location"))
+
+
+@query(f"SELECT document_id, count(*) AS n_texts, (sum(length(text)) + 2 * (count(*) - 1))::BIGINT AS n_chars FROM blocks WHERE text IS NOT NULL AND {_sql_strip('text')} <> '' GROUP BY 1", "blocks")
+def text_content(s, d):
+    """Size of the full text of every document: its texts that are not blank, with an empty line between."""
+    b = blocks(s, d, "document_id", "sequence", "text").where(~text.is_blank(F.col("text")))
+    return b.groupBy("document_id").agg(F.count("*").alias("n_texts"), (F.sum(F.length("text")) + 2 * (F.count("*") - 1)).alias("n_chars"))
+
+
+@query("SELECT document_id, CASE WHEN starts_with(file_type, '.') THEN lower(file_type) ELSE '.' || lower(file_type) END AS extension FROM docs WHERE file_type IS NOT NULL", "docs")
+def extension_normalize(s, d):
+    return docs(s, d, "document_id", "file_type").where("file_type IS NOT NULL").select("document_id", text.normalize_extension(F.col("file_type")).alias("extension"))
+
+
+@query("SELECT document_id, page_number, coalesce(confidence BETWEEN 0 AND 1 AND NOT isnan(confidence), true) AS valid FROM pages", "pages")
+def score_validity(s, d):
+    return scanned(s, d, "document_id", "page_number", "confidence").select("document_id", "page_number", text.is_score(F.col("confidence")).alias("valid"))
+
+
+@query("SELECT document_id, sequence, coalesce(metadata['style'], 'none') AS style, len(list_distinct(list_concat(coalesce(map_keys(metadata), []), ['is_linearized_table'])))::INT AS n_keys FROM blocks", "blocks")
+def metadata_merge(s, d):
+    m = text.map_with(F.col("metadata"), F.create_map(F.lit("is_linearized_table"), F.lit("true")))
+    return blocks(s, d, "document_id", "sequence", "metadata").select("document_id", "sequence", text.map_value(F.col("metadata"), "style", "none").alias("style"), F.size(m).alias("n_keys"))
+
+
+@query("SELECT document_id, source_path, updated_at::VARCHAR IS NOT NULL AS has_time, strftime(updated_at, '%Y-%m-%dT%H:%M:%S.%f') || 'Z' AS updated FROM docs WHERE status = 'active'", "docs")
+def documents_by_status(s, d):
+    """Documents of a status, the latest first, with their time in ISO 8601."""
+    x = metadata.listed(docs(s, d, "document_id", "source_path", "status", "updated_at"), "active", "updated_at")
+    return x.select("document_id", "source_path", F.col("updated_at").isNotNull().alias("has_time"), F.date_format("updated_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("updated"))
+
+
+@query("SELECT document_id, starts_with('/srv/docs/' || source_path, '/srv/docs/') AND NOT regexp_matches(source_path, '(^|/)\\.\\.(/|$)') AS contained FROM docs WHERE source_path IS NOT NULL", "docs")
+def path_containment(s, d):
+    """Whether a path, joined to a root and resolved, stays under it."""
+    p = F.concat(F.lit("/srv/docs/"), F.col("source_path"))
+    return docs(s, d, "document_id", "source_path").where("source_path IS NOT NULL").select("document_id", files.is_contained(p, "/srv/docs").alias("contained"))
+
+
 def _words(x: str) -> str:
     return f"list_distinct(list_filter(regexp_split_to_array(lower(coalesce({x}, '')), '[{_S}]+'), lambda x: x <> ''))"
 
@@ -476,9 +584,70 @@ def page_groups(s, d):
     return chunking.page_groups(blocks(s, d, "document_id", "sequence", "page_number")).select("document_id", "sequence", "page_group")
 
 
-@query()
+# The chunker in SQL: cleaned blocks, sentences by language, page groups, and a fold with one step for each sentence.
+_KO = sentences.KOREAN.replace(r"\s", "[\\t\\n\\f\\r\\x{0B} ]").replace("'", "''")
+_KO_TAIL = r"""[.?!~。？！](?:[\t\n\f\r\x{0B} ]*[''"」』]*)?([^.?!~。？！]*)$"""
+
+
+def _found(pattern: str) -> str:
+    return f"list_filter(list_transform(regexp_extract_all(t, '{pattern}', 1), lambda x: {_sql_strip('x')}), lambda x: length(x) > 0)"
+
+
+def _known(field: str, place: int, rows: str) -> str:
+    return f"list_filter(list_transform({rows}, lambda x: x.{field}), lambda y: y IS NOT NULL)[{place}]"
+
+
+def _joined(rows: str) -> str:
+    return _sql_strip(f"array_to_string(list_transform({rows}, lambda x: x.text), chr(10))")
+
+
+def _chunk(rows: str, number: str, group: str, content: str) -> str:
+    return f"{{'page_group': {group}, 'page_number': {_known('page', 1, rows)}, 'sheet_name': {_known('sheet', 1, rows)}, 'slide_number': {_known('slide', 1, rows)}, 'section_title': {_known('title', -1, rows)}, 'chunk_no': {number}, 'content': {content}, 'token_count': {_COUNT.format(content)}}}"
+
+
+_CHUNKED = f"""cells AS (SELECT b.*, d.language, list_filter(list_transform(string_split({_sql_strip('text')}, chr(10)), lambda x: {_sql_strip('x')}), lambda x: length(x) > 0) AS l FROM blocks b LEFT JOIN docs d ON d.document_id = b.document_id),
+lined AS (SELECT * EXCLUDE (l, text), CASE WHEN block_type <> 'table' OR contains(text, '[Header]') OR contains(text, '[Row') OR len(l) < 2 OR NOT contains(l[1], '|') THEN text
+  ELSE array_to_string(list_concat(['[Header] ' || {_cells('l[1]')}], list_transform(list_filter(l[2:], lambda x: NOT regexp_matches(x, '^[|{_S}:\\-]+$')), lambda x, i: '[Row ' || i || '] ' || {_cells('x')})), chr(10)) END AS text FROM cells),
+cleaned AS (SELECT document_id, sequence, block_type, page_number, sheet_name, slide_number, section_path[-1] AS title, lower(substr(coalesce(language, 'ko'), 1, 2)) AS lang, {_norm('text')} AS t FROM lined),
+full_text AS (SELECT * FROM cleaned WHERE {_sql_strip('t')} <> ''),
+en_parts AS (SELECT document_id, sequence, unnest(p) AS part, generate_subscripts(p, 1) AS i FROM (SELECT *, string_split(regexp_replace(t, '([.?!]+)(\\s+|$)', '\\1\\2' || chr(1), 'g'), chr(1)) AS p FROM full_text WHERE lang = 'en')),
+en_flags AS (SELECT *, {_sql_strip('part')} = '' OR regexp_replace(lower(regexp_extract({_sql_strip('part')}, '(\\S+)$', 1)), '[.!?]+$', '') IN ({', '.join(f"'{x}'" for x in sentences.ENGLISH_ABBREVIATIONS)}) AS joined FROM en_parts),
+en_groups AS (SELECT *, coalesce(sum((NOT joined)::INT) OVER (PARTITION BY document_id, sequence ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM en_flags),
+en AS (SELECT document_id, sequence, list(s ORDER BY g) FILTER (s <> '') AS p FROM (SELECT document_id, sequence, g, {_sql_strip("string_agg(part, '' ORDER BY i)")} AS s FROM en_groups GROUP BY ALL) GROUP BY 1, 2),
+split AS (SELECT f.*, CASE WHEN block_type IN ('table', 'code', 'image') THEN [t] WHEN lang = 'en' THEN en.p
+  WHEN lang = 'ja' THEN CASE WHEN len({_found(sentences.JAPANESE)}) > 0 THEN {_found(sentences.JAPANESE)} ELSE [{_sql_strip('t')}] END
+  ELSE list_concat(CASE WHEN len({_found(_KO)}) > 0 THEN {_found(_KO)} ELSE [{_sql_strip('t')}] END, list_filter([{_sql_strip(f"regexp_extract(t, '{_KO_TAIL}', 1)")}], lambda x: x <> '')) END AS p
+  FROM full_text f LEFT JOIN en ON en.document_id = f.document_id AND en.sequence = f.sequence),
+one AS (SELECT document_id, sequence, page_number, sheet_name, slide_number, title, unnest(p) AS text, generate_subscripts(p, 1) AS i FROM split),
+numbered AS (SELECT *, row_number() OVER w - 1 AS n, lag(page_number) OVER w AS before FROM one WINDOW w AS (PARTITION BY document_id ORDER BY sequence, i)),
+s AS MATERIALIZED (SELECT document_id, n, {{'page': page_number, 'sheet': sheet_name, 'slide': slide_number, 'title': title, 'text': text, 'tokens': {_COUNT.format('text')}}} AS sent, {_COUNT.format('text')} AS k,
+  sum(coalesce((before IS NOT NULL AND before IS DISTINCT FROM page_number)::INT, 0)) OVER (PARTITION BY document_id ORDER BY n) AS g FROM numbered),
+fold AS (
+  SELECT document_id, -1::BIGINT AS n, -1::HUGEINT AS g, [sent][:0] AS held, 0::BIGINT AS total, 0 AS number, '' AS tail, [{_chunk('[sent]', '0', '0::HUGEINT', "''")}][:0] AS made FROM s WHERE n = 0
+  UNION ALL
+  SELECT document_id, n, g, list_append(held2, sent), CASE WHEN full_up THEN coalesce(list_sum(list_transform(held2, lambda y: y.tokens)), 0) ELSE total1 END + k, number1 + e2::INT, CASE WHEN e2 THEN right(c2, 240) ELSE tail1 END,
+    list_concat(made1, CASE WHEN e2 THEN [{_chunk('held1', 'number1', 'g', 'c2')}] ELSE [] END)
+  FROM (SELECT *, full_up AND c2 <> '' AND NOT ({_COUNT.format('c2')} < 50 AND number1 > 0) AS e2,
+      CASE WHEN full_up THEN held1[len(held1) - len(list_filter(generate_series(1, len(held1)), lambda j: list_sum(list_transform(held1[j:], lambda y: y.tokens)) <= 60)) + 1:] ELSE held1 END AS held2
+    FROM (SELECT *, len(held1) > 0 AND total1 + k > 512 AS full_up, CASE WHEN len(held1) > 0 AND total1 + k > 512 THEN {_joined('held1')} ELSE '' END AS c2
+      FROM (SELECT *, CASE WHEN turn THEN CASE WHEN opens > 0 THEN [{{'page': NULL::INT, 'sheet': NULL::VARCHAR, 'slide': NULL::INT, 'title': NULL::VARCHAR, 'text': tail1, 'tokens': opens}}] ELSE [sent][:0] END ELSE held END AS held1, CASE WHEN turn THEN opens ELSE total END AS total1
+        FROM (SELECT *, {_COUNT.format('tail1')} AS opens
+          FROM (SELECT *, number + e1::INT AS number1, CASE WHEN e1 THEN right(c1, 240) ELSE tail END AS tail1, CASE WHEN e1 THEN [{_chunk('held', 'number', 'old_g', 'c1')}] ELSE [] END AS made1
+            FROM (SELECT *, turn AND c1 <> '' AND NOT ({_COUNT.format('c1')} < 50 AND number > 0) AS e1
+              FROM (SELECT f.document_id, s.n, s.g, f.g AS old_g, s.sent, s.k, f.held, f.total, f.number, f.tail, s.g <> f.g AS turn, CASE WHEN s.g <> f.g AND len(f.held) > 0 THEN {_joined('f.held')} ELSE '' END AS c1
+                FROM fold f JOIN s ON s.document_id = f.document_id AND s.n = f.n + 1)))))))),
+ends AS (SELECT document_id, g, held, number, {_joined('held')} AS c FROM fold QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY n DESC) = 1),
+made AS (SELECT document_id, unnest(made, recursive := true) FROM fold UNION ALL
+  SELECT document_id, unnest([{_chunk('held', 'number', 'g', 'c')}], recursive := true) FROM ends WHERE c <> '' AND NOT ({_COUNT.format('c')} < 50 AND number > 0)),
+once AS (SELECT * FROM made QUALIFY row_number() OVER (PARTITION BY document_id, md5(content) ORDER BY page_group, chunk_no) = 1),
+indexed AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY page_group, chunk_no) - 1 AS chunk_index FROM once)"""
+_UUID5 = """concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), '5' || substr(h, 14, 3), substr('89ab', (instr('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 3), substr(h, 21, 12))"""
+
+
+@query(f"""WITH RECURSIVE {_CHUNKED} SELECT document_id, page_group::BIGINT AS page_group, page_number, sheet_name, slide_number, section_title, chunk_no, content, token_count, chunk_index, {_UUID5} AS chunk_id
+FROM (SELECT *, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(concat_ws('/', document_id, '-', chunk_index))) AS h FROM indexed)""", "blocks docs")
 def chunk_pack(s, d):
-    b = blocks(s, d).join(docs(s, d, "document_id", "language"), "document_id", "left")
+    b = blocks(s, d, "document_id", "sequence", "block_type", "text", "page_number", "sheet_name", "slide_number", "section_path").join(docs(s, d, "document_id", "language"), "document_id", "left")
     rows = chunking.block_sentences(chunking.clean_blocks(b))
     grouped = chunking.page_groups(rows.drop("sequence").withColumnRenamed("sentence_no", "sequence")).withColumnRenamed("sequence", "sentence_no")
     return chunking.finish_chunks(chunking.pack_sentences(grouped, across_groups=True))

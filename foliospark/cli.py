@@ -1,4 +1,4 @@
-"""Command line: scan, status, ask, validate-config."""
+"""Command line: scan, rebuild, status, ask, validate-config."""
 
 from __future__ import annotations
 
@@ -11,7 +11,8 @@ from foliospark.config import load_settings
 from foliospark.models import embed_column, hashing_embedder
 from foliospark.operators.metadata import by_status
 from foliospark.plans.answering import answer_questions
-from foliospark.sources.store import read_snapshot
+from foliospark.plans.indexing import rebuild
+from foliospark.sources import store
 from foliospark.streaming.schedule import run_once
 
 
@@ -19,7 +20,7 @@ def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="foliospark")
     p.add_argument("--config")
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("scan", "status", "validate-config"):
+    for name in ("scan", "rebuild", "status", "validate-config"):
         sub.add_parser(name)
     sub.add_parser("ask").add_argument("question")
     a = p.parse_args(argv)
@@ -30,13 +31,16 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("foliospark").getOrCreate()
     if a.command == "scan":
         print(run_once(spark, s))
+    elif a.command == "rebuild":
+        print(rebuild(spark, s))
+    elif store.current_snapshot(spark, s.state) is None:
+        print("nothing is indexed yet")
+        return 1
     elif a.command == "status":
-        by_status(read_snapshot(spark, s.state, "documents")).show()
+        by_status(store.read_snapshot(spark, s.state, "documents")).show()
     else:
-        docs = read_snapshot(spark, s.state, "documents")
-        chunks = spark.read.parquet(f"{s.state}/chunks").join(docs.select("document_id", "source_path"), "document_id")
-        for c in ("sheet_name", "slide_number"):
-            chunks = chunks.withColumn(c, F.lit(None).cast("string"))
+        docs = store.read_snapshot(spark, s.state, "documents")
+        chunks = spark.read.parquet(f"{s.state}/chunks").join(docs.select("document_id", "source_path", "file_name"), "document_id")
         dim = s.embedding.vector_size
         q = spark.createDataFrame([(1, a.question)], "query_id long, question string").withColumn("embedding", embed_column(F.col("question"), lambda: hashing_embedder(dim)))
         r = s.retrieval

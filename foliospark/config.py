@@ -43,12 +43,21 @@ class Settings:
     extensions: tuple[str, ...] = (".txt", ".md", ".docx")
     max_bytes: int = 200 * 1024 * 1024
     context_tokens: int = 4096
+    model_tokens: int = 32768
+    output_tokens: int = 1024
     chunking: Chunking = field(default_factory=Chunking)
     embedding: Embedding = field(default_factory=Embedding)
     retrieval: Retrieval = field(default_factory=Retrieval)
 
     def __post_init__(self) -> None:
         c, r = self.chunking, self.retrieval
+        object.__setattr__(self, "extensions", tuple((x if x.startswith(".") else f".{x}").lower() for x in self.extensions))
+        if not self.root or not self.state:
+            raise ConfigurationError("root and state must be given")
+        if not 1 <= self.max_bytes <= 2048 * 1024 * 1024:
+            raise ConfigurationError("max_bytes must be between 1 and 2 GB")
+        if c.max_tokens * r.final_top_k > self.model_tokens - self.output_tokens - 2000:
+            raise ConfigurationError("max_tokens * final_top_k does not fit the model's context beside prompt and output")
         if not 0 <= c.overlap_tokens < c.target_tokens <= c.max_tokens:
             raise ConfigurationError("overlap_tokens < target_tokens <= max_tokens does not hold")
         if not 0 < r.final_top_k <= r.candidate_count:
@@ -58,13 +67,13 @@ class Settings:
 
 
 def substitute(value):
-    """``${NAME}`` and ``${NAME:-default}`` in all strings of a JSON value."""
+    """``${NAME}`` and ``${NAME:-default}`` in all strings of a JSON value; a name that is not set is empty."""
     if isinstance(value, dict):
         return {k: substitute(v) for k, v in value.items()}
     if isinstance(value, list):
         return [substitute(v) for v in value]
     if isinstance(value, str):
-        return re.sub(r"\$\{(\w+)(?::-([^}]*))?\}", lambda m: os.environ.get(m[1], m[2] if m[2] is not None else m[0]), value)
+        return re.sub(r"\$\{(\w+)(?::-([^}]*))?\}", lambda m: os.environ.get(m[1], m[2] if m[2] is not None else ""), value)
     return value
 
 
@@ -80,8 +89,10 @@ def _build(cls, data: dict):
 
 
 def load_settings(path: str | None = None) -> Settings:
-    """From ``path``, or the file that FOLIO_CONFIG names, or the defaults."""
+    """From ``path``, or the file that FOLIO_CONFIG names, or ``config/config.{FOLIO_ENV}.json``, or the defaults."""
     path = path or os.environ.get("FOLIO_CONFIG")
+    if path is None and os.environ.get("FOLIO_ENV"):
+        path = os.path.join("config", f"config.{os.environ['FOLIO_ENV']}.json")
     if path is None:
         return Settings()
     if not os.path.isfile(path):

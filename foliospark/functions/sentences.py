@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,9 +14,9 @@ from foliospark.functions.text import strip
 KOREAN = r"""([^.?!~。？！]+[.?!~。？！]+(?:\s*['"」』]*)?)"""
 JAPANESE = r"([^。？！．]+[。？！．]*)"
 ENGLISH_ABBREVIATIONS = (
-    "dr mr mrs ms prof sr jr vs etc e.g i.e cf al et fig eq no vol pp ch sec "
-    "jan feb mar apr jun jul aug sep oct nov dec am pm a.m p.m"
-).split()
+    "dr", "mr", "mrs", "ms", "prof", "sr", "jr", "vs", "etc", "e.g", "i.e", "cf", "al", "et", "fig", "eq", "no", "vol", "pp", "ch", "sec",
+    "jan", "feb", "mar", "apr", "jun", "jul", "aug", "sep", "oct", "nov", "dec", "am", "pm", "a.m", "p.m",
+)
 
 
 def _pieces(c: Column, pattern: str) -> Column:
@@ -58,10 +59,18 @@ def english(c: Column) -> Column:
     return F.aggregate(parts, start, step, finish)
 
 
-def split_sentences(c: Column, language: Column, keep_tail: bool = True) -> Column:
-    """Sentences by language; blank or null text gives an empty array."""
+Splitter = Callable[[Column], Column]
+
+
+def split_sentences(c: Column, language: Column, keep_tail: bool = True, splitters: dict[str, Splitter] | None = None) -> Column:
+    """Sentences by language; blank or null text gives an empty array.
+
+    ``splitters`` adds or replaces the way of a language, named by its first two letters.
+    """
     base = F.lower(F.substring(F.coalesce(language, F.lit("ko")), 1, 2))
-    split = F.when(base == "en", english(c)).when(base == "ja", japanese(c)).otherwise(korean(c, keep_tail))
+    split = korean(c, keep_tail)
+    for name, way in ({"en": english, "ja": japanese} | (splitters or {})).items():
+        split = F.when(base == name, way(c)).otherwise(split)
     return F.when(F.length(strip(c)) > 0, split).otherwise(F.array().cast("array<string>"))
 
 

@@ -113,6 +113,50 @@ def block_location(page: Column, sheet: Column, slide: Column, section_path: Col
     return F.when(parts == "", "unknown").otherwise(parts)
 
 
+def citation_location(page: Column, sheet: Column, slide: Column) -> Column:
+    """Page, sheet and slide for a reader, as far as known; an empty sheet name is unknown."""
+    parts = F.concat_ws(
+        ", ",
+        F.concat(page.cast("string"), F.lit("페이지")),
+        F.when(sheet != "", F.concat(sheet, F.lit(" 시트"))),
+        F.concat(slide.cast("string"), F.lit(" 슬라이드")),
+    )
+    return F.when(parts == "", "위치 정보 없음").otherwise(parts)
+
+
+def citation_line(mark: Column, path: Column, file_name: Column, location: Column, section: Column) -> Column:
+    """``[S1] file (location), "section"``; the file's name is taken from the path if not given, a plain body is no section."""
+    name = F.coalesce(F.when(file_name != "", file_name), F.element_at(F.split(path, "/"), -1), F.lit(""))
+    title = F.when(F.coalesce(section, F.lit("")).isin("", "본문"), "").otherwise(F.concat(F.lit(', "'), section, F.lit('"')))
+    return F.concat(F.lit("["), mark, F.lit("] "), name, F.lit(" ("), location, F.lit(")"), title)
+
+
+def joined_text(texts: Column) -> Column:
+    """The full text of a document from the array of its texts: those that are not blank, with an empty line between."""
+    return F.array_join(F.filter(texts, lambda t: ~is_blank(t)), "\n\n")
+
+
+def normalize_extension(c: Column) -> Column:
+    """Lower case with a leading dot."""
+    return F.when(F.startswith(c, F.lit(".")), F.lower(c)).otherwise(F.concat(F.lit("."), F.lower(c)))
+
+
+def is_score(c: Column) -> Column:
+    """Whether a score lies between 0 and 1; null, a score not given, does."""
+    return F.coalesce(c.between(0, 1) & ~F.isnan(c), F.lit(True))
+
+
+def map_with(m: Column, added: Column) -> Column:
+    """A map with the entries of another, which win; null maps are empty."""
+    m, added = F.coalesce(m, F.create_map().cast("map<string,string>")), F.coalesce(added, F.create_map().cast("map<string,string>"))
+    return F.map_concat(F.map_filter(m, lambda k, _: ~F.map_contains_key(added, k)), added)
+
+
+def map_value(m: Column, key: str, default: str | None = None) -> Column:
+    """The value of a key, or the default where the map, the key or the value is missing."""
+    return F.coalesce(F.try_element_at(m, F.lit(key)), F.lit(default))
+
+
 def citations(c: Column) -> Column:
     """Distinct ``Sn`` marks of an answer in the order they appear."""
     return F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(r"\[S(\d+)\]"), F.lit(1)), lambda x: F.concat(F.lit("S"), x)))

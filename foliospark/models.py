@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,7 +20,7 @@ def hashing_embedder(dim: int = 64) -> Embedder:
         for i, t in enumerate(texts):
             t = (t or "").strip().lower() or "(empty)"
             for j in range(max(1, len(t) - 2)):
-                h = zlib.crc32(t[j : j + 3].encode())
+                h = int.from_bytes(hashlib.md5(t[j : j + 3].encode("utf-8", "replace")).digest()[:4], "big")
                 out[i, h % dim] += 1.0 if h & 1024 else -1.0
         n = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(n > 0, n, 1)

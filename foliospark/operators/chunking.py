@@ -14,7 +14,7 @@ from foliospark.functions.sentences import split_sentences
 from foliospark.functions.text import is_blank, linearize_table, normalize_text, token_count
 from foliospark.session import shuffle_partitions
 
-CHUNK_COLUMNS = "document_id string, page_group long, page_number int, section_title string, chunk_no int, content string, token_count int"
+CHUNK_COLUMNS = "document_id string, page_group long, page_number int, sheet_name string, slide_number int, section_title string, chunk_no int, content string, token_count int"
 
 
 def clean_blocks(blocks: DataFrame) -> DataFrame:
@@ -45,33 +45,37 @@ def pack_sentences(sentences: DataFrame, max_tokens: int = 512, overlap_tokens:
     """Greedy chunks of the sentences of each page group, in order, with an overlap of whole sentences.
 
     A chunk closes when the next sentence would pass ``max_tokens``; a longer sentence stands alone. Chunks below
-    ``min_tokens`` are dropped unless they are the group's first. Needs (document_id, page_group, page_number,
-    section_path, sentence_no, text); null text counts as empty. The state of the fold is one open chunk, so the rows
+    ``min_tokens`` are dropped unless they are the group's first. Page, sheet and slide are the first known of a chunk,
+    the section is the last. Needs (document_id, page_group, page_number, section_path, sentence_no, text) and takes
+    sheet_name and slide_number if there; null text counts as empty. The state of the fold is one open chunk, so the rows
     stream through sorted partitions and a hot document is never held whole.
 
     With ``across_groups`` a page group opens with the last ``overlap_tokens * 4`` characters of the chunk before it,
-    without page and section, and ``chunk_no`` counts over the whole document, as does the exception for the first.
+    without page and section, and ``chunk_no`` counts over the whole document, as does the exception for the first. What
+    a page group opens with is known only when the one before it is done, so a document is then one stream.
     """
-    rows = sentences.select("document_id", "page_group", "sentence_no", "page_number", F.try_element_at("section_path", F.lit(-1)).alias("section_title"), F.coalesce("text", F.lit("")).alias("text"), token_count(F.col("text")).alias("tokens"))
+    known = [c if c in sentences.columns else F.lit(None).cast(t).alias(c) for c, t in (("sheet_name", "string"), ("slide_number", "int"))]
+    rows = sentences.select("document_id", "page_group", "sentence_no", "page_number", *known, F.try_element_at("section_path", F.lit(-1)).alias("section_title"), F.coalesce("text", F.lit("")).alias("text"), token_count(F.col("text")).alias("tokens"))
     ordered = rows.repartition(*(["document_id"] if across_groups else ["document_id", "page_group"])).sortWithinPartitions("document_id", "page_group", "sentence_no")
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, held, total, number, tail = None, [], 0, 0, ""
+        key, held, total, number, tail = None, [], 0, 0, ""  # held: (page, sheet, slide, title, text, tokens)
 
         def close(out: list) -> None:
             nonlocal number, tail
-            content = "\n".join(x[2] for x in held).strip()
+            content = "\n".join(x[4] for x in held).strip()
             count = tokens_of(content)
             if content and not (count < min_tokens and number > 0):
-                page = next((x[0] for x in held if x[0] is not None), None)
-                title = next((x[1] for x in reversed(held) if x[1] is not None), None)
-                out.append((*key, page, title, number, content, count))
+                first = [next((x[i] for x in held if x[i] is not None), None) for i in range(3)]
+                title = next((x[3] for x in reversed(held) if x[3] is not None), None)
+                out.append((*key, *first, title, number, content, count))
                 number += 1
                 tail = content[-overlap_tokens * 4 :] if across_groups and overlap_tokens > 0 else ""
 
         for pdf in batches:
             out: list = []
-            for doc, group, page, title, text, tokens in zip(pdf["document_id"], pdf["page_group"], pdf["page_number"], pdf["section_title"], pdf["text"], pdf["tokens"]):
+            pages, slides = ([None if pd.isna(x) else int(x) for x in pdf[c]] for c in ("page_number", "slide_number"))
+            for doc, group, page, sheet, slide, title, text, tokens in zip(pdf["document_id"], pdf["page_group"], pages, pdf["sheet_name"], slides, pdf["section_title"], pdf["text"], pdf["tokens"]):
                 if key != (doc, group):
                     if held:
                         close(out)
@@ -79,17 +83,17 @@ def pack_sentences(sentences: DataFrame, max_tokens: int = 512, overlap_tokens:
                         number, tail = 0, ""
                     key, held, total = (doc, group), [], tokens_of(tail)
                     if total > 0:
-                        held.append((None, None, tail, total))
+                        held.append((None, None, None, None, tail, total))
                 if held and total + tokens > max_tokens:
                     close(out)
                     kept, size = [], 0
                     for x in reversed(held):
-                        if size + x[3] > overlap_tokens:
+                        if size + x[5] > overlap_tokens:
                             break
                         kept.insert(0, x)
-                        size += x[3]
+                        size += x[5]
                     held, total = kept, size
-                held.append((None if pd.isna(page) else int(page), title, text, tokens))
+                held.append((page, sheet, slide, title, text, tokens))
                 total += tokens
             if out:
                 yield _frame(out)
@@ -109,7 +113,7 @@ def tokens_of(text: str) -> int:
 
 def _frame(rows: list) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=[x.split()[0] for x in CHUNK_COLUMNS.split(", ")])
-    return out.astype({"page_number": "Int32", "page_group": "int64", "chunk_no": "int32", "token_count": "int32"})
+    return out.astype({"page_number": "Int32", "slide_number": "Int32", "page_group": "int64", "chunk_no": "int32", "token_count": "int32"})
 
 
 def finish_chunks(chunks: DataFrame) -> DataFrame:

@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def payload_filter(wanted: dict[str, object] | None) -> Column:
+    """All of the given columns have the given values; nothing given lets every row pass. Reaches the Parquet scan."""
+    return reduce(lambda a, b: a & b, [F.col(k) == F.lit(v) for k, v in (wanted or {}).items()], F.lit(True))
+
+
+def listed(df: DataFrame, status: str | None, order: str) -> DataFrame:
+    """Rows of a status (or all), the latest first."""
+    return (df if status is None else df.where(F.col("status") == status)).orderBy(F.desc_nulls_last(order), df.columns[0])
+
+
 def by_status(df: DataFrame) -> DataFrame:
     return df.groupBy("status").agg(F.count("*").alias("n"))
 

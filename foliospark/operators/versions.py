@@ -11,6 +11,11 @@ def insert_unique(table: DataFrame, new: DataFrame, keys: list[str]) -> DataFram
     return table.unionByName(new.dropDuplicates(keys).join(table.select(*keys), keys, "left_anti"), allowMissingColumns=True)
 
 
+def upsert(table: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """``table`` with the rows of ``new``, which replace those of the same key; columns ``new`` lacks are null."""
+    return table.join(new.select(*keys), keys, "left_anti").unionByName(new.dropDuplicates(keys), allowMissingColumns=True).select(*table.columns)
+
+
 def update_known(table: DataFrame, updates: DataFrame, key: str) -> DataFrame:
     """Columns of ``updates`` replace those of ``table`` where they are not null; null changes nothing."""
     names = [c for c in updates.columns if c != key]

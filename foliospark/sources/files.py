@@ -27,6 +27,20 @@ def name_problem(name: Column) -> Column:
     return out.when(F.upper(F.substring_index(name, ".", 1)).isin(RESERVED), "reserved")
 
 
+def is_contained(path: Column, root: str) -> Column:
+    """Whether a path, with its ``.`` and ``..`` resolved, lies under a root; null does not."""
+    start = F.array().cast("array<string>")
+    parts = F.filter(F.split(path, "/"), lambda p: ~p.isin("", "."))
+    resolved = F.aggregate(parts, start, lambda acc, p: F.when(p == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(p))))
+    inside = F.concat(F.lit("/"), F.array_join(resolved, "/"), F.lit("/"))
+    return F.coalesce(F.startswith(inside, F.lit(root.rstrip("/") + "/")), F.lit(False))
+
+
+def has_size(files: DataFrame, expected: DataFrame) -> DataFrame:
+    """Adds ``size_matches`` by (source_path, expected_size); files that nothing is expected of match."""
+    return files.join(expected, "source_path", "left").withColumn("size_matches", F.coalesce(F.col("file_size") == F.col("expected_size"), F.lit(True))).drop("expected_size")
+
+
 def extension(name: Column) -> Column:
     return F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1))
 
@@ -61,16 +75,24 @@ def hash_files(files: DataFrame, before: DataFrame | None = None) -> DataFrame:
     return out.join(b, "source_path", "left").withColumn("stable", F.col("file_size").eqNullSafe(F.col("__s")) & F.col("modified_at").eqNullSafe(F.col("__m"))).drop("__s", "__m")
 
 
+def archive_sizes(data: bytes | None) -> tuple[bool, int, int, float]:
+    """(safe, entries, unpacked bytes, ratio) of an archive; what is no archive, or null, is safe."""
+    try:
+        infos = zipfile.ZipFile(io.BytesIO(data)).infolist() if data is not None else []
+    except zipfile.BadZipFile:
+        infos = []
+    total, packed = sum(i.file_size for i in infos), sum(i.compress_size for i in infos)
+    ratio = total / packed if packed else 0.0
+    return len(infos) <= MAX_ENTRIES and total <= MAX_UNPACKED and ratio <= MAX_RATIO, len(infos), total, ratio
+
+
+def check_archive(data: bytes) -> None:
+    safe, entries, total, ratio = archive_sizes(data)
+    if not safe:
+        raise ValueError(f"the archive passes the limits: {entries} entries, {total} bytes, ratio {ratio:.0f}")
+
+
 @F.pandas_udf(T.StructType().add("safe", T.BooleanType()).add("entries", T.IntegerType()).add("unpacked", T.LongType()).add("ratio", T.DoubleType()))
 def archive_check(contents: pd.Series) -> pd.DataFrame:
     """Whether an archive stays within the limits; what is no archive, or null, is safe."""
-    rows = []
-    for data in contents:
-        try:
-            infos = zipfile.ZipFile(io.BytesIO(data)).infolist() if data is not None else []
-        except zipfile.BadZipFile:
-            infos = []
-        total, packed = sum(i.file_size for i in infos), sum(i.compress_size for i in infos)
-        ratio = total / packed if packed else 0.0
-        rows.append((len(infos) <= MAX_ENTRIES and total <= MAX_UNPACKED and ratio <= MAX_RATIO, len(infos), total, ratio))
-    return pd.DataFrame(rows, columns=["safe", "entries", "unpacked", "ratio"])
+    return pd.DataFrame([archive_sizes(data) for data in contents], columns=["safe", "entries", "unpacked", "ratio"])

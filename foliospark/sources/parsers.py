@@ -12,8 +12,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-Block = tuple[str, str, list[str]]
-PARSED = "source_path string, sequence int, block_type string, text string, section_path array<string>, error string"
+from foliospark.sources.files import check_archive
+
+# (type, text, section path) or, where pages are known, (type, text, section path, page number).
+Block = tuple[str, str, list[str]] | tuple[str, str, list[str], int]
+PARSED = "source_path string, sequence int, block_type string, text string, section_path array<string>, page_number int, error string"
+# What a document without text becomes.
+EMPTY, EMPTY_DOCX = "(empty document)", "(empty docx document)"
 
 
 def decode(data: bytes) -> str:
@@ -31,7 +36,7 @@ def decode(data: bytes) -> str:
 
 def parse_text(data: bytes) -> list[Block]:
     text = decode(data).replace("\r\n", "\n").replace("\r", "\n")
-    return [("paragraph", p.strip(), []) for p in text.split("\n\n") if p.strip()] or [("paragraph", "(empty document)", [])]
+    return [("paragraph", p.strip(), []) for p in text.split("\n\n") if p.strip()] or [("paragraph", EMPTY, [])]
 
 
 def parse_markdown(data: bytes) -> list[Block]:
@@ -44,8 +49,9 @@ def parse_markdown(data: bytes) -> list[Block]:
 
     def flush() -> None:
         nonlocal held
-        text = (" " if kind == "paragraph" else "\n").join(held).strip()
-        if text:
+        text = (" " if kind == "paragraph" else "\n").join(held)
+        text = text.strip("\n") if kind == "code" else text.strip()  # the indentation of code stays
+        if text.strip():
             out.append((kind, text, [t for _, t in path]))
         held = []
 
@@ -70,11 +76,12 @@ def parse_markdown(data: bytes) -> list[Block]:
         elif line.strip():
             held.append(line.strip())
     flush()
-    return out or [("paragraph", "(empty document)", [])]
+    return out or [("paragraph", EMPTY, [])]
 
 
 def parse_docx(data: bytes) -> list[Block]:
-    """Paragraphs, headings and tables of a DOCX body, in order."""
+    """Paragraphs, headings and tables of a DOCX body, in order; an archive beyond the limits is an error."""
+    check_archive(data)
     w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
     body = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(data)).read("word/document.xml")).find(f"{w}body")
     out: list[Block] = []
@@ -90,11 +97,11 @@ def parse_docx(data: bytes) -> list[Block]:
         elif e.tag == f"{w}tbl":
             rows = [" | ".join(text(c).replace("\n", " ") for c in r.iter(f"{w}tc")) for r in e.iter(f"{w}tr")]
             out.append(("table", "\n".join(rows), list(path)))
-    return out or [("paragraph", "(empty docx document)", [])]
+    return out or [("paragraph", EMPTY_DOCX, [])]
 
 
 def parse_pdf(data: bytes) -> list[Block]:
-    """One block a page, and headings: short lines in capitals or that start with a digit. Needs the pypdf package."""
+    """The parts of every page with its number, and headings: short lines in capitals or that start with a digit. Needs the pypdf package."""
     import pypdf
 
     out: list[Block] = []
@@ -102,34 +109,42 @@ def parse_pdf(data: bytes) -> list[Block]:
     reader = pypdf.PdfReader(io.BytesIO(data))
     if reader.is_encrypted and not reader.decrypt(""):
         raise ValueError("the file is encrypted")
-    for page in reader.pages:
+    for number, page in enumerate(reader.pages, 1):
         for part in (page.extract_text() or "").split("\n\n"):
             line = part.strip()
             if not line:
                 continue
             heading = len(line) < 100 and "\n" not in line and (line.isupper() or line[0].isdigit())
             path = [line] if heading else path
-            out.append(("heading" if heading else "paragraph", line, list(path)))
-    return out or [("paragraph", "(empty document)", [])]
+            out.append(("heading" if heading else "paragraph", line, list(path), number))
+    return out or [("paragraph", EMPTY, [])]
 
 
 PARSERS: dict[str, Callable[[bytes], list[Block]]] = {".txt": parse_text, ".md": parse_markdown, ".markdown": parse_markdown, ".docx": parse_docx, ".pdf": parse_pdf}
 
 
 def parse_files(files: DataFrame, parsers: dict[str, Callable[[bytes], list[Block]]] | None = None) -> DataFrame:
-    """One row for each block of (source_path, file_type, content); a file that fails gives one row with ``error``."""
+    """One row for each block of (source_path, file_type, content); a file that fails gives one row with ``error``.
+
+    Where ``files`` has ``md5_hash``, content with another hash has changed since it was listed and is an error, so that
+    a hash always belongs to the blocks.
+    """
     known = dict(PARSERS if parsers is None else parsers)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for path, kind, data in zip(pdf["source_path"], pdf["file_type"], pdf["content"]):
+            for path, kind, data, stable in zip(pdf["source_path"], pdf["file_type"], pdf["content"], pdf["stable"]):
+                error = None if stable else "changed while it was read"
+                error = error if kind in known else f"unsupported file type {kind}"
                 try:
-                    rows += [(path, i, *b, None) for i, b in enumerate(known[kind](bytes(data)))]
-                except KeyError:
-                    rows.append((path, 0, None, None, None, f"unsupported file type {kind}"))
+                    blocks = known[kind](bytes(data)) if error is None else []
+                    rows += [(path, i, *b[:3], b[3] if len(b) > 3 else None, None) for i, b in enumerate(blocks)]
                 except Exception as e:  # one bad file must not stop the others
-                    rows.append((path, 0, None, None, None, f"{type(e).__name__}: {e}"[:500]))
-            yield pd.DataFrame(rows, columns=["source_path", "sequence", "block_type", "text", "section_path", "error"])
+                    error = f"{type(e).__name__}: {e}"[:500]
+                if error is not None:
+                    rows.append((path, 0, None, None, None, None, error))
+            yield pd.DataFrame(rows, columns=["source_path", "sequence", "block_type", "text", "section_path", "page_number", "error"]).astype({"page_number": "Int32"})
 
-    return files.select("source_path", F.lower("file_type").alias("file_type"), "content").mapInPandas(run, PARSED)
+    stable = F.md5("content") == F.col("md5_hash") if "md5_hash" in files.columns else F.lit(True)
+    return files.select("source_path", F.lower("file_type").alias("file_type"), "content", stable.alias("stable")).mapInPandas(run, PARSED)

@@ -20,45 +20,47 @@ from foliospark.session import checkpointed
 
 # Letters of other scripts that are drawn like a Latin letter, as pairs "Latin: look-alikes".
 LOOK_ALIKES = """
-A: Α А Ꭺ
-B: Β В
-C: С Ϲ Ⅽ
-D: Ⅾ Ꭰ
-E: Ε Е Ꭼ
-F: Ϝ
-G: Ԍ
-H: Η Н Ꮋ
-I: Ι І Ӏ Ⅰ
-J: Ј Ꭻ
-K: Κ К K
-L: Ⅼ Ꮮ
-M: Μ М Ⅿ Ϻ
-N: Ν
-O: Ο О Օ
-P: Ρ Р Ꮲ
+A: Α А Ꭺ ꓮ
+B: Β В Ᏼ ꓐ Ⲃ
+C: С Ϲ Ⅽ Ꮯ ꓚ Ⲥ
+D: Ⅾ Ꭰ ꓓ
+E: Ε Е Ꭼ ꓰ
+F: Ϝ ꓝ
+G: Ԍ Ꮐ ꓖ
+H: Η Н Ꮋ ꓧ Ⲏ
+I: Ι І Ӏ Ⅰ ꓲ
+J: Ј Ꭻ ꓙ
+K: Κ К K Ꮶ ꓗ Ⲕ
+L: Ⅼ Ꮮ ꓡ
+M: Μ М Ⅿ Ϻ Ꮇ ꓟ Ⲙ
+N: Ν ꓠ Ⲛ
+O: Ο О Օ ꓳ Ⲟ
+P: Ρ Р Ꮲ ꓑ Ⲣ
 Q: Ԛ
-S: Ѕ Տ Ꮪ
-T: Τ Т Ꭲ
-V: Ⅴ Ѵ
-W: Ԝ
-X: Χ Х Ⅹ
-Y: Υ Ү
-Z: Ζ Ꮓ
+R: ꓣ
+S: Ѕ Տ Ꮪ ꓢ
+T: Τ Т Ꭲ ꓔ Ⲧ
+U: ꓴ
+V: Ⅴ Ѵ Ꮩ ꓦ
+W: Ԝ Ꮃ ꓪ
+X: Χ Х Ⅹ ꓫ Ⲭ
+Y: Υ Ү ꓬ Ⲩ
+Z: Ζ Ꮓ ꓜ
 a: а ɑ
 b: Ь
-c: с ϲ ⅽ
+c: с ϲ ⅽ ⲥ
 d: ԁ ⅾ
 e: е
-g: ɡ
-h: һ
+g: ɡ ց
+h: һ հ
 i: і ⅰ
 j: ј ϳ
 l: ⅼ
 m: ⅿ
 n: ո
-o: ο о օ
-p: р ρ
-q: ԛ
+o: ο о օ ⲟ
+p: р ρ ⲣ
+q: ԛ զ
 s: ѕ
 u: ս υ
 v: ν ѵ ⅴ
@@ -88,7 +90,20 @@ _KEPT = "\ue0ff"
 _UNSEEN = ("<wide>", "<narrow>", "<noBreak>")
 
 
-def _pairs() -> Iterator[tuple[str, str]]:
+def read_confusables(path: str) -> list[tuple[str, str]]:
+    """Pairs of a file in the published form of confusables: ``source ; target ; type # comment``, code points in hex."""
+    out = []
+    with open(path, encoding="utf-8-sig") as f:
+        for line in f:
+            parts = line.split("#")[0].split(";")
+            if len(parts) >= 2:
+                source, target = ("".join(chr(int(x, 16)) for x in p.split()) for p in parts[:2])
+                out.append((target, source))
+    return out
+
+
+def _pairs(more: list[tuple[str, str]] | None = None) -> Iterator[tuple[str, str]]:
+    yield from more or []
     for line in LOOK_ALIKES.strip().splitlines():
         base, others = line.split(": ")
         for o in others.split():
@@ -113,8 +128,8 @@ _SPACE_TABLE = {ord(c): " " for c in SPACES}
 _USUAL = r"\t\n\r\x20-\x7e\u00a1-\u00ac\u00ae-\u017f\u0900-\u097f\u0e00-\u0e7f\u2013-\u2015\u2018-\u201e\u20ac\u3001-\u30ff\u4e00-\u9fff\uac00-\ud7a3"
 
 
-def classes() -> list[list[str]]:
-    """The classes of strings that look the same: the transitive closure of the pairs."""
+def classes(more: list[tuple[str, str]] | None = None) -> list[list[str]]:
+    """The classes of strings that look the same: the transitive closure of the pairs, with ``more`` of them."""
     parent: dict[str, str] = {}
 
     def find(x: str) -> str:
@@ -124,7 +139,7 @@ def classes() -> list[list[str]]:
             x = parent[x]
         return x
 
-    for a, b in _pairs():
+    for a, b in _pairs(more):
         a, b = unicodedata.normalize("NFD", a), unicodedata.normalize("NFD", b)
         if a != b:
             parent[find(a)] = find(b)
@@ -134,10 +149,10 @@ def classes() -> list[list[str]]:
     return [sorted(v) for v in out.values() if len(v) > 1]
 
 
-def representatives(counts: dict[str, int]) -> dict[str, str]:
+def representatives(counts: dict[str, int], more: list[tuple[str, str]] | None = None) -> dict[str, str]:
     """What each class member is rewritten to: the member with the highest count; ties go to the first in code order."""
     out = {}
-    for members in classes():
+    for members in classes(more):
         best = max(members, key=lambda m: (counts.get(m, 0), [-ord(c) for c in m]))
         out |= {m: best for m in members if m != best}
     return out
@@ -173,10 +188,10 @@ class Rewriter:
         return unicodedata.normalize("NFC", "".join(out)).replace(_KEPT, "\u200d")
 
 
-def member_counts(texts: DataFrame) -> DataFrame:
+def member_counts(texts: DataFrame, more: list[tuple[str, str]] | None = None) -> DataFrame:
     """(member, n): how often each member of a class occurs in all texts; summed in tasks first."""
-    singles = {m for c in classes() for m in c if len(m) == 1}
-    longer = [m for c in classes() for m in c if len(m) > 1]
+    members = [m for c in classes(more) for m in c]
+    singles, longer = {m for m in members if len(m) == 1}, [m for m in members if len(m) > 1]
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: Counter = Counter()
@@ -191,14 +206,17 @@ def member_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInPandas(count, "member string, n long").groupBy("member").agg(F.sum("n").alias("n"))
 
 
-def unify(texts: DataFrame) -> DataFrame:
+def unify(texts: DataFrame, confusables: str | None = None) -> DataFrame:
     """``texts`` with ``unified``, the consistent form of ``text``; null stays null, empty stays empty.
 
+    ``confusables`` is a file with more pairs, in the form in which they are published.
+
     Other columns and repeated rows pass through. Two passes over the texts, no shuffle of texts: counts of class
     members (a few hundred, a bound given by the classes) come to the driver, then each text is rewritten on its own.
     """
-    counts = {r["member"]: r["n"] for r in member_counts(texts).collect()}
-    mapping = representatives(counts)
+    more = read_confusables(confusables) if confusables else None
+    counts = {r["member"]: r["n"] for r in member_counts(texts, more).collect()}
+    mapping = representatives(counts, more)
 
     def rewrite(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         f = Rewriter(mapping)

@@ -549,6 +549,16 @@ def test_copies_of_one_text_are_not_paired_with_each_other(spark):
     assert {tuple(r) for r in unify.same_looking_pairs(texts).collect()} == {(i, 900) for i in range(500)}
 
 
+def test_more_pairs_from_a_published_file(spark, tmp_path):
+    f = tmp_path / "confusables.txt"
+    f.write_text("\ufeff# comment\n\n05AD ;\t0596 ;\tMA\t# x\n0131 ;\t0069 ;\tMA # dotless\n2A74 ; 003A 003A 003D ; MA\n", encoding="utf-8")
+    assert unify.read_confusables(str(f)) == [("\u0596", "\u05ad"), ("i", "\u0131"), ("::=", "\u2a74")]
+    df = spark.createDataFrame([(1, "ship :: pin"), (2, "sh\u0131p :: pin"), (3, "a ::= b"), (4, "a \u2a74 b")], "doc_id long, text string")
+    u = {r["doc_id"]: r["unified"] for r in unify.unify(df, str(f)).collect()}
+    assert u[1] == u[2] and u[3] == u[4]
+    assert len({r["unified"] for r in unify.unify(df).collect()}) == 4
+
+
 def test_representatives_follow_frequency():
     m = unify.representatives({"e": 5, "е": 9})
     assert m["e"] == "е" and "е" not in m

@@ -21,7 +21,7 @@ from foliospark.functions.vectors import is_usable
 # Fitting: vectors a cell, vectors at most in the sample, cells at most (8 MB of centroids, which are broadcast), and cells
 # above which centroids are fitted and looked up by way of heads. The sample gives dense regions as many cells as they
 # need; beyond 4 million vectors cells hold more than ``CELL``, at 45 million some 1,400.
-CELL, SAMPLE, MAX_CELLS, PLAIN = 128, 262144, 32768, 1024
+CELL, SAMPLE, MAX_CELLS, PLAIN = 128, 65536, 32768, 1024
 # Cells of a group that is searched together, members of a group above which it is cut into blocks, cells each query
 # looks into, and heads whose cells are looked through for them.
 GROUP, BLOCK, PROBES, HEADS = 32, 131072, 8, 24
@@ -59,7 +59,7 @@ class Cells:
     """Centroids, the groups of neighbouring centroids, and the rotation."""
 
     def __init__(self, sample: np.ndarray, count: int, dim: int):
-        k = int(min(max(1, count // CELL), MAX_CELLS, max(1, len(sample) // 8)))
+        k = int(min(max(1, count // CELL), MAX_CELLS, max(1, len(sample) // 2)))
         self.centroids = self._fit(sample, k) if len(sample) else np.zeros((1, dim), np.float32)
         g = max(1, -(-len(self.centroids) // GROUP))
         self.heads = _kmeans(self.centroids, g, 6, 2) if g > 1 else self.centroids[:1]

@@ -669,15 +669,26 @@ def ocr_status(s, d):
     return pages.recognition_status(scanned(s, d, "document_id", "text", "confidence"))
 
 
-@query(f"""WITH o AS (SELECT document_id, page_number, array_to_string(list_sort(list(DISTINCT text)), ' ') AS t FROM blocks WHERE page_number IS NOT NULL AND text IS NOT NULL GROUP BY 1, 2),
+_MERGED = f"""o AS (SELECT document_id, page_number, array_to_string(list_sort(list(DISTINCT text)), ' ') AS t FROM blocks WHERE page_number IS NOT NULL AND text IS NOT NULL GROUP BY 1, 2),
 j AS (SELECT p.document_id, p.page_number, p.text, CASE WHEN o.t IS NOT NULL THEN (SELECT CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 1.0 ELSE len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))) END FROM (SELECT {_words('p.text')} AS a, {_words('o.t')} AS b)) END AS similarity
- FROM pages p LEFT JOIN o ON o.document_id = p.document_id AND o.page_number = p.page_number)
-SELECT document_id, page_number, md5(text) AS text_md5, round(similarity, 6) AS similarity FROM j WHERE similarity IS NULL OR similarity <= 0.8""", "blocks pages")
+ FROM pages p LEFT JOIN o ON o.document_id = p.document_id AND o.page_number = p.page_number)"""
+
+
+@query(f"""WITH {_MERGED} SELECT document_id, page_number, md5(text) AS text_md5, round(similarity, 6) AS similarity FROM j WHERE similarity IS NULL OR similarity <= 0.8""", "blocks pages")
 def ocr_merge(s, d):
     m = pages.merge_recognized(blocks(s, d, "document_id", "page_number", "text"), scanned(s, d, "document_id", "page_number", "text"))
     return m.select("document_id", "page_number", F.md5("text").alias("text_md5"), F.round("similarity", 6).alias("similarity"))
 
 
+@query(f"""WITH {_MERGED}, last AS (SELECT document_id, max(sequence) AS n FROM blocks GROUP BY 1)
+SELECT document_id, sequence, block_type, page_number, md5(text) AS text_md5 FROM blocks UNION ALL
+SELECT j.document_id, (coalesce(n, -1) + row_number() OVER (PARTITION BY j.document_id ORDER BY page_number))::INT, 'paragraph', page_number, md5(text) FROM j LEFT JOIN last ON last.document_id = j.document_id WHERE similarity IS NULL OR similarity <= 0.8""", "blocks pages")
+def ocr_append(s, d):
+    b = blocks(s, d, "document_id", "sequence", "block_type", "text", "page_number")
+    m = pages.merge_recognized(b, scanned(s, d, "document_id", "page_number", "text"))
+    return pages.append_recognized(b, m).select("document_id", "sequence", "block_type", "page_number", F.md5("text").alias("text_md5"))
+
+
 # ---------------------------------------------------------------- files
 _SUSPECT = " ".join(f"WHEN contains(file_name, {'chr(0)' if x == chr(0) else chr(39) + x + chr(39)}) THEN 'suspicious'" for x in files.SUSPICIOUS if x != "\x00")
 _NAME = f"CASE WHEN regexp_matches(file_name, '^[{_S}]|[{_S}]$') THEN 'whitespace' {_SUSPECT} WHEN upper(string_split(file_name, '.')[1]) IN ({', '.join(chr(39) + x + chr(39) for x in files.RESERVED)}) THEN 'reserved' END"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from foliospark.functions.text import strip, word_jaccard
 
@@ -42,3 +43,16 @@ def merge_recognized(blocks: DataFrame, pages: DataFrame, same: float = 0.8) ->
     own = blocks.where("page_number IS NOT NULL AND text IS NOT NULL").groupBy("document_id", "page_number").agg(F.array_sort(F.collect_set("text")).alias("__t"))
     j = pages.join(own, ["document_id", "page_number"], "left").withColumn("similarity", F.when(F.col("__t").isNotNull(), word_jaccard(F.col("text"), F.array_join("__t", " "))))
     return j.where(F.col("similarity").isNull() | (F.col("similarity") <= same)).select("document_id", "page_number", "text", "similarity")
+
+
+def append_recognized(blocks: DataFrame, added: DataFrame) -> DataFrame:
+    """(document_id, sequence, block_type, text, page_number): the blocks, and after a document's last one its added pages.
+
+    ``added`` are the pages that ``merge_recognized`` keeps; each becomes a paragraph, in page order. Documents without
+    blocks start at 0.
+    """
+    last = blocks.groupBy("document_id").agg(F.max("sequence").alias("__last"))
+    number = F.row_number().over(W.partitionBy("document_id").orderBy("page_number"))
+    new = added.join(last, "document_id", "left").withColumn("sequence", (F.coalesce("__last", F.lit(-1)) + number).cast("int"))
+    columns = ["document_id", "sequence", "block_type", "text", "page_number"]
+    return blocks.select(*columns).unionByName(new.withColumn("block_type", F.lit("paragraph")).select(*columns))

@@ -462,6 +462,16 @@ def test_fill_containers(spark):
     assert packing.fill_containers(df.limit(0), 128).count() == 0
 
 
+def test_containers_of_several_shards(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD", 6)
+    r = random.Random(14)
+    df = spark.createDataFrame([(i, prose(r, r.randint(1, 40))) for i in range(400)], "doc_id long, text string")
+    got = packing.fill_containers(df, 128).toPandas()
+    n = {x["doc_id"]: x["tokens"] for x in packing.count_tokens(df).collect()}
+    assert got.groupby("container").tokens.sum().max() <= 128 and not got.duplicated(["doc_id", "piece"]).any()
+    assert got.groupby("doc_id").tokens.sum().to_dict() == n and got.container.nunique() <= 1.03 * got.tokens.sum() / 128 + 2
+
+
 # ---------------------------------------------------------------- problem 7
 def test_leaks(spark):
     s = ["The verified citation lubricates the laminated filter within two working days.", "A rotating blueprint escalates the index because the external blueprint postpones it.", "Before the dispatcher describes the optional battery, check 44 magnetic pallet entries."]

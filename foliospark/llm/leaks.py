@@ -146,12 +146,11 @@ class Index:
             k, begin = place >> np.int64(40), (place & np.int64((1 << 40) - 1)) - np.int64(1 << 20)
             doc = np.searchsorted(bounds, np.maximum(begin + self.length[k] // 2, 0), side="right") - 1
             doc = np.minimum(doc, len(texts) - 1)
-            # Shared windows of a sentence in a text, wherever a word more or less has moved them.
-            pair, inverse = np.unique(doc << np.int64(32) | k, return_inverse=True)
-            shared, ks = np.bincount(inverse, number), pair & np.int64((1 << 32) - 1)
-            enough = (shared >= self.least[ks])[inverse]
-            sure = shared >= self.left[ks]
-            strong.update(zip((pair[sure] >> np.int64(32)).tolist(), ks[sure].tolist()))
+            # Shared windows of a sentence around a place, wherever a word more or less has moved them.
+            sums = np.r_[0, np.cumsum(number)]
+            shared = sums[np.searchsorted(place, place + SLACK, side="right")] - sums[np.searchsorted(place, place - SLACK)]
+            enough, sure = shared >= self.least[k], shared >= self.left[k]
+            strong.update(zip(doc[sure].tolist(), k[sure].tolist()))
             for t, s, a in zip(doc[enough].tolist(), k[enough].tolist(), begin[enough].tolist()):
                 where.setdefault((t, s), []).append(a - int(bounds[t]))
         done = set()

@@ -170,7 +170,9 @@ class Rewriter:
         inside = [re.escape(k) for k in mapping if re.fullmatch(f"[{_USUAL}]+", k)]
         # Composed letters that hold a class member, such as a kana with a voice mark.
         inside += [chr(c) for c in (*range(0xA1, 0x180), *range(0x900, 0x980), *range(0x3041, 0x3100)) if any(x in mapping for x in unicodedata.normalize("NFD", chr(c))[:-1])]
-        self.odd = re.compile("|".join([f"[^{_USUAL}]", *sorted(inside, key=len, reverse=True)]))
+        # Single characters as one class: alternatives would be tried one by one at every place.
+        single, longer = "".join(sorted({x for x in inside if len(x.removeprefix("\\")) == 1})), sorted((x for x in inside if len(x.removeprefix("\\")) > 1), key=len, reverse=True)
+        self.odd = re.compile("|".join([f"[^{_USUAL}]", *([f"[{single}]"] if single else []), *longer]))
 
     def __call__(self, text: str) -> str:
         if not self.odd.search(text) and unicodedata.is_normalized("NFC", text):

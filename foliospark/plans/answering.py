@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from foliospark.functions.vectors import is_usable
 from foliospark.models import Reranker, rerank_column
 from foliospark.operators import answers, search
+from foliospark.session import checkpointed
 
 
 def source_hits(questions: DataFrame, chunks: DataFrame, active: DataFrame, dim: int, minimum: float = 0.25, top: int = 5, reranker: Callable[[], Reranker] | None = None) -> DataFrame:
@@ -35,7 +36,7 @@ def answer_questions(
     """
     q = questions.withColumn("status", answers.question_status(F.col("question")))
     q = q.withColumn("status", F.when((F.col("status") == "ok") & ~is_usable(F.col("embedding"), dim), "failed_retrieval").otherwise(F.col("status")))
-    hits = source_hits(q, chunks, active, dim, minimum, top, reranker)
+    hits = checkpointed(source_hits(q, chunks, active, dim, minimum, top, reranker))
     block = answers.source_block(F.col("rank"), F.col("source_path"), F.col("page_number"), F.col("sheet_name"), F.col("slide_number"), F.col("section_title"), F.col("content"))
     used = hits.withColumn("block", block)
     found = used.groupBy("query_id").agg(F.count("*").alias("n_hits"))

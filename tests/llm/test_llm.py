@@ -126,6 +126,23 @@ def test_the_pairs_between_groups_leave_out_only_a_hot_group_itself(monkeypatch,
     assert want and want <= got and all(b >= 30 for _, b in got)
 
 
+def test_the_exact_pass_forms_few_pairs_of_strangers():
+    """Strangers that share many of their tokens, as where the vocabulary does not grow with the table; no pair is lost."""
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randint(4, 9))) for _ in range(150)]
+    texts = [" ".join(r.choice(words) for _ in range(r.choice([2, 8, 25, 60]))) for _ in range(1200)]
+    texts += [edited(r, t, len(t) // 30) for t in texts[:300]]
+    width, units = duplicates.width_of(len(texts)), {}
+    for part, rows, info, count, token in duplicates.pieces(texts, width):
+        units.setdefault(part, []).append((rows, rows, info, count.astype(np.int64), token))
+    got = set()
+    for part, x in units.items():
+        got |= {tuple(p) for p in duplicates.meeting_records(part >> 16, width, *map(np.concatenate, zip(*x))).tolist()}
+    sets = [duplicates.runs_of(t) for t in texts]
+    want = {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if len(sets[a] & sets[b]) >= 0.65 * len(sets[a] | sets[b])}
+    assert len(want) > 250 and want <= got and len(got) < 20 * len(want)
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (3, 4), (10, 11), (11, 11), (None, 5), (4, 3)] + [(100 + i, 101 + i) for i in range(40)]
     got = {r["id"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}

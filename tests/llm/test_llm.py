@@ -143,6 +143,17 @@ def test_the_exact_pass_forms_few_pairs_of_strangers():
     assert len(want) > 250 and want <= got and len(got) < 20 * len(want)
 
 
+def test_what_the_exact_pass_sees_of_a_record_depends_on_no_other():
+    """No order or threshold of the tokens is counted, in the table or in a part of it."""
+    r = random.Random(9)
+    texts = [prose(r, 5 + 3 * i) for i in range(40)]
+    seen = lambda some: {(texts[some[i]], part): t for part, rows, _, n, token in duplicates.pieces([texts[i] for i in some], 7.0) for i, t in zip(rows.tolist(), map(tuple, np.split(token, np.cumsum(n)[:-1])))}
+    together = seen(range(40))
+    for i in range(40):
+        alone = seen([i])
+        assert alone and alone.items() <= together.items()
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (3, 4), (10, 11), (11, 11), (None, 5), (4, 3)] + [(100 + i, 101 + i) for i in range(40)]
     got = {r["id"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}

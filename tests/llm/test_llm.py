@@ -154,6 +154,17 @@ def test_what_the_exact_pass_sees_of_a_record_depends_on_no_other():
         assert alone and alone.items() <= together.items()
 
 
+def test_only_texts_that_are_compared_are_read_again(spark):
+    r = random.Random(10)
+    texts = [prose(r, 20) for _ in range(30)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, edited(r, texts[0], 1)])], "id long, text string")
+    docs = docs.withColumn("text", F.expr("if(id BETWEEN 1 AND 29, raise_error('read'), text)"))
+    sizes, sketch = duplicates.sketches([*texts, edited(r, texts[0], 1)])
+    k = spark.createDataFrame([(i, int(n), bytes(x)) for i, (n, x) in enumerate(zip(sizes, sketch))], "id long, n int, s binary")
+    pairs = spark.createDataFrame([(0, 30)], "a long, b long")
+    assert [tuple(x) for x in duplicates.verified(pairs, docs, k).collect()] == [(0, 30)]
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (3, 4), (10, 11), (11, 11), (None, 5), (4, 3)] + [(100 + i, 101 + i) for i in range(40)]
     got = {r["id"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}

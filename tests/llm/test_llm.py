@@ -239,6 +239,34 @@ def test_words_that_are_too_rare_for_the_trie_are_reached_by_the_join(spark, mon
     assert "all agrees here" in [x["text"] for x in scans.repair(more).where("document_id = 'm' AND page_number = 9").collect()]
 
 
+def test_the_cut_of_the_trie_changes_no_result(spark, monkeypatch):
+    """Nothing, some of or all the vocabulary is left out of the trie, as in tables of other sizes."""
+    r = random.Random(14)
+    words = ["".join(r.choice("abcdehilmnorstuvwy") for _ in range(r.randint(2, 10))) for _ in range(60)] + ["검토위원회", "결재문서", "기술자료", "モータとシステム", "保守マニュアル"]
+    pages = []
+    for d in range(6):
+        for p in range(1, 9):
+            lines = []
+            for _ in range(14):
+                some = [words[min(int(r.expovariate(0.06)), len(words) - 1)] for _ in range(6)]
+                if r.random() < 0.3:
+                    i = r.randrange(6)
+                    x = r.choice(sorted(scans.one_confusion(some[i])))
+                    some[i] = r.choice(sorted(scans.one_confusion(x))) if r.random() < 0.5 else edited(r, x, 1)
+                line = " ".join(some)
+                if r.random() < 0.2:
+                    line = line.replace("シ", "ツ").replace("ロ", "口").replace("ニ", "二")
+                lines += [line[: len(line) - 3] + "-", line[-3:] + " " + some[0]] if r.random() < 0.3 else [line]
+            pages.append((f"d{d}", p, "\n".join(lines), 0.9, 1.0))
+    pages.append(("k", 1, "モータとシステム 保守マニュアル\n" * 60, 0.9, 1.0))
+    table = spark.createDataFrame(pages, "document_id string, page_number int, text string, confidence double, processing_time_ms double")
+    seen = []
+    for share in (0.0, 0.003, 1.0):
+        monkeypatch.setattr(scans, "LEAST_SHARE", share)
+        seen.append([sorted(map(tuple, f(table).collect())) for f in (scans.find_noise, scans.repair)])
+    assert {"hyphen", "misread"} <= {x[3] for x in seen[0][0]} and seen[0] == seen[1] == seen[2]
+
+
 def test_pages_without_confidence_do_not_vouch_for_words_and_a_document_not_for_its_errors(spark):
     rows = [("a", 1, "zzyx " * 50, 0.2, 1.0), ("b", 1, "rnodern " * 40, 0.9, 1.0), ("c", 1, "plain", None, 1.0)]
     got = {r["word"]: (r["n"], r["own"]) for r in scans.count_words(spark.createDataFrame(rows, "document_id string, page_number int, text string, confidence double, processing_time_ms double")).collect()}

@@ -143,6 +143,23 @@ def test_the_exact_pass_forms_few_pairs_of_strangers():
     assert len(want) > 250 and want <= got and len(got) < 20 * len(want)
 
 
+def test_pairs_of_a_unit_come_once_and_are_sorted_as_single_numbers(monkeypatch):
+    r = random.Random(15)
+    t = prose(r, 40)
+    texts = [edited(r, t, 1) for _ in range(60)]
+    plain = np.unique
+    monkeypatch.setattr(np, "unique", lambda x, *more, **other: pytest.fail("rows are sorted") if np.ndim(x) > 1 else plain(x, *more, **other))
+    met = set()
+    for part, rows, info, count, token in duplicates.pieces(texts, 6.0):
+        ids = 10**12 - rows  # falling, beyond 32 bits
+        got = [tuple(x) for x in duplicates.meeting_records(part >> 16, 6.0, ids, ids, info, count.astype(np.int64), token).tolist()]
+        assert len(got) == len(set(got)) and all(a < b for a, b in got) and {*itertools.chain(*got)} <= {*ids.tolist()}
+        met |= set(got)
+    sets = [duplicates.runs_of(x) for x in texts]
+    want = {(10**12 - b, 10**12 - a) for a, b in itertools.combinations(range(60), 2) if len(sets[a] & sets[b]) >= 0.65 * len(sets[a] | sets[b])}
+    assert len(want) > 1000 and want <= met
+
+
 def test_what_the_exact_pass_sees_of_a_record_depends_on_no_other():
     """No order or threshold of the tokens is counted, in the table or in a part of it."""
     r = random.Random(9)

@@ -149,10 +149,12 @@ def test_pairs_of_a_unit_come_once_and_are_sorted_as_single_numbers(monkeypatch)
     texts = [edited(r, t, 1) for _ in range(60)]
     plain = np.unique
     monkeypatch.setattr(np, "unique", lambda x, *more, **other: pytest.fail("rows are sorted") if np.ndim(x) > 1 else plain(x, *more, **other))
-    met = set()
-    for part, rows, info, count, token in duplicates.pieces(texts, 6.0):
-        ids = 10**12 - rows  # falling, beyond 32 bits
-        got = [tuple(x) for x in duplicates.meeting_records(part >> 16, 6.0, ids, ids, info, count.astype(np.int64), token).tolist()]
+    met, units = set(), {}
+    for part, rows, *x in duplicates.pieces(texts, 6.0):
+        units.setdefault(part, []).append((10**12 - rows, *x))  # falling, beyond 32 bits
+    for part, x in units.items():
+        ids, info, count, token = map(np.concatenate, zip(*x))
+        got = [tuple(p) for p in duplicates.meeting_records(part >> 16, 6.0, ids, ids, info, count.astype(np.int64), token).tolist()]
         assert len(got) == len(set(got)) and all(a < b for a, b in got) and {*itertools.chain(*got)} <= {*ids.tolist()}
         met |= set(got)
     sets = [duplicates.runs_of(x) for x in texts]

@@ -173,6 +173,38 @@ def test_what_the_exact_pass_sees_of_a_record_depends_on_no_other():
         assert alone and alone.items() <= together.items()
 
 
+def test_records_meet_in_a_segment_only_within_the_deletions_of_both():
+    r = random.Random(11)
+    sets = [sorted(r.sample(range(14), r.randint(1, 12))) for _ in range(300)]
+    hashes = np.random.default_rng(1).integers(0, 1 << 64, 14, dtype=np.uint64)
+    count, value = np.array([len(x) for x in sets]), hashes[np.concatenate(sets)]
+    i, none = np.arange(len(sets)), np.zeros(len(sets))
+    bounds = [i + 1, np.full(len(sets), len(sets)), none.astype(int), i]
+    fits = lambda x, y, least: len({*x} & {*y}) >= least and len({*x} ^ {*y}) <= duplicates.deletions(len({*x} & {*y}))
+    for few, least in ((none.astype(bool), duplicates.SPARE + 1), (~none.astype(bool), 1)):
+        got = {tuple(sorted(p)) for a, b in duplicates._agreeing_records(bounds, few, count, value, none.astype(np.uint64), none) for p in zip(a.tolist(), b.tolist())}
+        assert got == {(x, y) for x, y in itertools.combinations(range(len(sets)), 2) if fits(sets[x], sets[y], least)} and got
+
+
+def test_the_table_is_read_twice(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    r = random.Random(12)
+    texts = [prose(r, 20) for _ in range(20)]
+    rows = [*enumerate([*texts, edited(r, texts[0], 1), texts[1], texts[2], texts[2].upper()]), (3, texts[3]), (3, texts[3])]
+    df = spark.createDataFrame(rows, "k long, content string").mapInPandas(counted, "k long, content string")
+    got = {}
+    for k, g in duplicates.near_duplicates(df, "k", "content").collect():
+        got.setdefault(g, set()).add(k)
+    assert sorted(map(sorted, got.values())) == [[0, 20], [1, 21], [2, 22, 23]]  # row 3 is only repeated
+    assert seen.value == 2 * len(rows)
+
+
 def test_only_texts_that_are_compared_are_read_again(spark):
     r = random.Random(10)
     texts = [prose(r, 20) for _ in range(30)]

@@ -186,6 +186,15 @@ def test_records_meet_in_a_segment_only_within_the_deletions_of_both():
         assert got == {(x, y) for x, y in itertools.combinations(range(len(sets)), 2) if fits(sets[x], sets[y], least)} and got
 
 
+def test_sketches_and_signatures_do_not_depend_on_the_size_of_the_batch():
+    r = random.Random(13)
+    texts = [prose(r, 15) for _ in range(600)]
+    (n, s), sigs = duplicates.sketches(texts), duplicates.signatures(texts)
+    for i in (0, 7, 300):
+        (m, t), (alone,) = duplicates.sketches([texts[i]]), duplicates.signatures([texts[i]])
+        assert (m[0], t[0]) == (n[i], s[i]) and alone.tolist() == sigs[i].tolist()
+
+
 def test_the_table_is_read_twice(spark):
     seen = spark.sparkContext.accumulator(0)
 
